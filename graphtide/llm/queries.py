@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import read
+from .quality import quality_verdicts
 from .sharding import shard_documents
 
 
@@ -10,5 +11,10 @@ def op1_sharding(spark, sf_dir):
     return shard_documents(read(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding,)}
+def op3_quality_rules(spark, sf_dir):
+    out = quality_verdicts(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
