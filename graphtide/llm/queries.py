@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .common import read
+from .pieces import encode_documents
 from .quality import quality_verdicts
 from .sharding import shard_documents
+from .signature_trees import jaccard_components
 
 
 def op1_sharding(spark, sf_dir):
@@ -16,5 +18,13 @@ def op3_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_quality_rules)}
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_components(read(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+def op10_sentencepiece(spark, sf_dir):
+    return encode_documents(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_quality_rules, op9_jaccard_join, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
