@@ -43,6 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named or current.get()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds the rows of a batch that goes to Python, so that a batch of long texts stays small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 class Scratch:
     """Tables of one operator call, in a folder of their own under the shared folder."""
 

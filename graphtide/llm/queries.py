@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import read
+from .line_dedup import dedup_lines
 from .pieces import encode_documents
 from .quality import quality_verdicts
 from .sharding import shard_documents
@@ -18,6 +19,10 @@ def op3_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_line_dedup(spark, sf_dir):
+    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_jaccard_join(spark, sf_dir):
     return jaccard_components(read(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -26,5 +31,5 @@ def op10_sentencepiece(spark, sf_dir):
     return encode_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_quality_rules, op9_jaccard_join, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_quality_rules, op5_line_dedup, op9_jaccard_join, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
