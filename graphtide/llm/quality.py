@@ -78,14 +78,15 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     return d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def cascade_order(docs: DataFrame, rules: list[Rule], sample_rows: int = 800, fraction: float = 0.05, seed: int = 7, repeats: int = 10) -> list[Rule]:
-    """Orders rules by rejection per cost, both estimated on at most sample_rows rows.
+def cascade_order(docs: DataFrame, rules: list[Rule], sample_rows: int = 800, seed: int = 7, repeats: int = 10) -> list[Rule]:
+    """Orders rules by rejection per cost, both estimated on about sample_rows rows, never more than twice that.
 
     The sample is written with its statistics, so that a rule's time is that of its own expression; each
     rule runs over ``repeats`` copies of it. An empty sample leaves the order as it is.
     """
     scratch = Scratch(docs.sparkSession, "rule-sample")
-    sample = scratch.write(with_statistics(docs.sample(fraction, seed).limit(sample_rows)), "rows").where(~F.col("base_failed"))
+    fraction = min(1.0, sample_rows / max(docs.count(), 1))
+    sample = scratch.write(with_statistics(docs.sample(fraction, seed).limit(2 * sample_rows)), "rows").where(~F.col("base_failed"))
     copies = sample.select(*sample.columns, F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("_copy"))
 
     def run(fails: Column) -> tuple[float, int, int]:
