@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import read
 from .line_dedup import dedup_lines
 from .pieces import encode_documents
+from .posting_lists import nearest
 from .quality import quality_verdicts
 from .sharding import shard_documents
 from .signature_trees import jaccard_components
@@ -23,6 +24,10 @@ def op5_line_dedup(spark, sf_dir):
     return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_nearest(spark, sf_dir):
+    return nearest(read(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op9_jaccard_join(spark, sf_dir):
     return jaccard_components(read(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -31,5 +36,5 @@ def op10_sentencepiece(spark, sf_dir):
     return encode_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_quality_rules, op5_line_dedup, op9_jaccard_join, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_quality_rules, op5_line_dedup, op7_nearest, op9_jaccard_join, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
