@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ordered_prefix
+from .common import Scratch, ordered_prefix, small_batches
 from .components import components
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -321,8 +321,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block_shi
     block_shingles bounds what one task holds of a cell; bitmap_bits bounds the broadcast filter of the
     second reading (a full filter only lets more texts pass). Neither changes the result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     light = scratch.write(source.mapInArrow(_light(k, percent), _LIGHT), "light")
     node = light.groupBy("n", "s0", "s1").agg(F.min("rid").alias("rep")).where("n > 0")
