@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .attention_lm import score_documents
 from .common import read
 from .line_dedup import dedup_lines
 from .pieces import encode_documents
@@ -15,6 +16,10 @@ def op1_sharding(spark, sf_dir):
     return shard_documents(read(spark, sf_dir, "documents"), 24)
 
 
+def op2_lm_scoring(spark, sf_dir):
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     out = quality_verdicts(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -36,5 +41,5 @@ def op10_sentencepiece(spark, sf_dir):
     return encode_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_quality_rules, op5_line_dedup, op7_nearest, op9_jaccard_join, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op3_quality_rules, op5_line_dedup, op7_nearest, op9_jaccard_join, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
