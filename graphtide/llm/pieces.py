@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,11 +60,11 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 class PieceModel:
     """The pieces of a model file and the search over them.
 
-    memo: how many words' ids are kept; pairs: how many answers of the merge test are kept. Both are
-    emptied when full, so memory is bounded, and both change only the time taken.
+    memo: how many words' ids are kept; pairs: how many answers of the merge test are kept. The oldest
+    words and all pairs go when these are full, so memory is bounded; both change only the time taken.
     """
 
-    def __init__(self, data: bytes, memo: int = 300_000, pairs: int = 1_000_000):
+    def __init__(self, data: bytes, memo: int = 800_000, pairs: int = 1_000_000):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.types: list[int] = []
@@ -88,6 +89,7 @@ class PieceModel:
         self.id_of = {self.pieces[i]: i for i in normal}
         self.longest = max(map(len, self.id_of), default=1)
         self.chars = {p for p in self.id_of if len(p) == 1}
+        self.lengths = list(map(len, self.pieces))
         self.reach: dict[str, int] = {}  # the longest piece that ends with a character
         for piece in self.id_of:
             self.reach[piece[-1]] = max(self.reach.get(piece[-1], 0), len(piece))
@@ -97,8 +99,8 @@ class PieceModel:
         #: No piece holds a space mark after another character: then words are apart from each other.
         self.by_word = all(re.fullmatch(f"{SPACE}*[^{SPACE}]*", p) for p in self.id_of)
         self.raw = [self._raw(i) for i in range(len(self.pieces))]
-        self._pairs: dict[int, bool] = {}
-        self._max_pairs = pairs
+        self._pairs: dict[int, dict[int, bool]] = {}  # by the left piece, -1 for none
+        self._n_pairs, self._max_pairs = 0, pairs
         self._memo = _Memo(self, memo)
 
     def _raw(self, i: int) -> bytes:
@@ -127,27 +129,52 @@ class PieceModel:
 
     def _stands(self, left: int, right: int) -> bool:
         """Whether merging the joint text of two pieces gives these two; left -1: the right one alone."""
-        key = (left + 1) * len(self.pieces) + right
-        known = self._pairs.get(key)
+        row = self._pairs.get(left)
+        if row is None:
+            row = self._pairs[left] = {}
+        known = row.get(right)
         if known is None:
             b = self.pieces[right]
             known = self.merged(b) == [b] if left < 0 else self.merged(self.pieces[left] + b) == [self.pieces[left], b]
-            if len(self._pairs) >= self._max_pairs:
+            self._n_pairs += 1
+            if self._n_pairs > self._max_pairs:
                 self._pairs.clear()
-            self._pairs[key] = known
+                self._n_pairs = 0
+            row[right] = known
         return known
 
     def _step_bpe(self, text: str, at: int, base: int, last: list, _scores: list) -> tuple[int, float]:
-        get, known, size = self.id_of.get, self._pairs.get, len(self.pieces)
         for n in range(min(self.reach[text[at - 1]], at - base), 0, -1):
-            k = get(text[at - n : at])
-            if k is not None:
-                before = last[at - n - base]
-                stands = known((before + 1) * size + k)
-                if stands or (stands is None and self._stands(before, k)):
-                    return k, 0.0
+            k = self.id_of.get(text[at - n : at])
+            if k is not None and self._stands(last[at - n - base], k):
+                return k, 0.0
         raise AssertionError("a position without a path")
 
+    def _word(self, text: str) -> list[int]:
+        """The search over a text that the window holds whole, for a BPE model."""
+        get, reach, pairs, stands = self.id_of.get, self.reach, self._pairs, self._stands
+        last, rows, at = [-1], [pairs.get(-1) or {}], 0
+        for c in text:
+            at += 1
+            n = reach[c]
+            i = at - n if at > n else 0
+            while True:
+                k = get(text[i:at])
+                if k is not None:
+                    ok = rows[i].get(k)
+                    if ok or (ok is None and stands(last[i], k)):
+                        last.append(k)
+                        rows.append(pairs.get(k) or {})
+                        break
+                i += 1
+        out, lengths = [], self.lengths
+        while at:
+            k = last[at]
+            out.append(k)
+            at -= lengths[k]
+        out.reverse()
+        return out
+
     def _step_unigram(self, text: str, at: int, base: int, _last: list, scores: list) -> tuple[int, float]:
         best, found = -1, float("-inf")
         for n in range(min(self.reach[text[at - 1]], at - base), 0, -1):
@@ -163,11 +190,6 @@ class PieceModel:
         step = self._step_bpe if self.kind == BPE else self._step_unigram
         base, last, scores = 0, [-1], [0.0]  # position base is committed; last[i]: the piece that ends at base + i
         check = max(2 * self.longest, 16)
-        if len(text) < check and self.kind == BPE:  # the window holds it all
-            for at in range(1, len(text) + 1):
-                last.append(step(text, at, 0, last, scores)[0])
-            yield from self._back(last, len(text))
-            return
         for at in range(1, len(text) + 1):
             k, s = step(text, at, base, last, scores)
             last.append(k)
@@ -197,7 +219,7 @@ class PieceModel:
     def search(self, text: str) -> list[int]:
         """Ids of a marked text (spaces as marks). Characters that are no piece become bytes, or the unknown id."""
         if text and self.chars.issuperset(text):
-            return list(self._span(text))
+            return self._word(text) if self.kind == BPE and len(text) <= 2 * self.longest else list(self._span(text))
         out: list[int] = []
         start = 0
         for i, c in enumerate(text):
@@ -239,17 +261,22 @@ class PieceModel:
 
 
 class _Memo(dict):
-    """Word -> ids, filled on demand; words over 64 characters are searched each time."""
+    """Word -> ids, filled on demand; words over 64 characters are searched each time.
+
+    Half of the words are kept as the older ones; a full half becomes the older one, so words in use stay.
+    """
 
     def __init__(self, model: PieceModel, size: int):
         super().__init__()
-        self.model, self.size = model, size
+        self.model, self.half, self.older = model, size // 2, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.model.search(SPACE + word)
-        data = struct.pack(f"<{len(ids)}i", *ids)
+        data = self.older.get(word)
+        if data is None:
+            data = array("i", self.model.search(SPACE + word)).tobytes()
         if len(word) <= 64:
-            if len(self) >= self.size:
+            if len(self) >= self.half:
+                self.older = dict(self)
                 self.clear()
             self[word] = data
         return data
