@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from .attention_lm import score_documents
+from .chat import rotate_perspectives
 from .common import read
+from .licences import scan_licences
 from .line_dedup import dedup_lines
+from .mixing import mixture
 from .pieces import encode_documents
 from .posting_lists import nearest
 from .quality import quality_verdicts
@@ -25,14 +28,26 @@ def op3_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_chat_formatting(spark, sf_dir):
+    return rotate_perspectives(read(spark, sf_dir, "conversations"))
+
+
 def op5_line_dedup(spark, sf_dir):
     return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_license_scans(spark, sf_dir):
+    return scan_licences(read(spark, sf_dir, "documents"))
+
+
 def op7_nearest(spark, sf_dir):
     return nearest(read(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op8_source_mixing(spark, sf_dir):
+    return mixture(read(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark, sf_dir):
     return jaccard_components(read(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -41,5 +56,19 @@ def op10_sentencepiece(spark, sf_dir):
     return encode_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op3_quality_rules, op5_line_dedup, op7_nearest, op9_jaccard_join, op10_sentencepiece)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding,
+        op2_lm_scoring,
+        op3_quality_rules,
+        op4_chat_formatting,
+        op5_line_dedup,
+        op6_license_scans,
+        op7_nearest,
+        op8_source_mixing,
+        op9_jaccard_join,
+        op10_sentencepiece,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
