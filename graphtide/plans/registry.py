@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from graphtide.plans import kb_queries
+
+MODULES = [kb_queries]
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return kb_queries.flagship(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
