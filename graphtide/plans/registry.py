@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphtide.plans import kb_queries
+from graphtide.plans import kb_queries, sim_queries
 
-MODULES = [kb_queries]
+MODULES = [kb_queries, sim_queries]
 
 
 def flagship(spark, sf_dir):
