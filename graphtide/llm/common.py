@@ -126,15 +126,13 @@ def _summary(group: str | None, weight: str) -> Callable:
             w = batch.column(batch.schema.get_field_index(weight)).to_numpy(zero_copy_only=False).astype(np.int64)
             keys = np.array([""] * batch.num_rows, object) if g is None else g
             starts = np.flatnonzero(pos == 0)
-            for s, e in zip(starts, [*starts[1:], None], strict=True):
-                if s:
-                    end = s - 1
+            for start in starts.tolist():
+                if start:
+                    end = start - 1
                     last = (keys[end], int(pos[end]) + 1, int(pre[end] + w[end]))
-                    first = first or last
+                first = first or last  # the group that ends here, if it was the first
                 n_groups += 1
             last = (keys[-1], int(pos[-1]) + 1, int(pre[-1] + w[-1]))
-            if n_groups > 1 and first is None:
-                first = last
         if last:
             first = first or last
             yield pa.RecordBatch.from_pydict(
