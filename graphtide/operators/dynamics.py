@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphtide.functions import registry
 from graphtide.functions.expressions import Call, Draws, Op, to_column, to_numpy
 from graphtide.sources.sysd import Model, System, lower
 
@@ -215,6 +216,7 @@ def simulate(model: Model, runs: DataFrame, method: str = "euler", last: bool =
     functions: more scalar functions, over numpy arrays. A null parameter takes the model's own value.
     """
     system = lower(model)
+    functions = {**registry.MODEL, **(functions or {})}
 
     def go(batches):
         worker = Worker(system, functions, emergent)

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphtide.functions import registry
 from graphtide.functions import terms as T
 
 QUAD = f"g string, s string, s_kind tinyint, p string, o {T.TERM}"
@@ -22,7 +23,7 @@ class Graph:
     """Quads with set semantics; every change gives a new Graph. functions: scalar functions for queries."""
 
     def __init__(self, quads: DataFrame, functions: dict | None = None):
-        self.quads, self.spark, self.functions = quads, quads.sparkSession, dict(functions or {})
+        self.quads, self.spark, self.functions = quads, quads.sparkSession, {**registry.QUERY, **(functions or {})}
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Graph:
@@ -139,7 +140,7 @@ class MappedGraph:
     """A virtual graph: mappings over DataFrames, read on demand. Mappings come from graphtide.sources.mapping."""
 
     def __init__(self, spark: SparkSession, mapped: list, functions: dict | None = None):
-        self.spark, self.mapped, self.functions = spark, mapped, dict(functions or {})
+        self.spark, self.mapped, self.functions = spark, mapped, {**registry.QUERY, **(functions or {})}
 
     def scan(self, s: str | None = None, p: str | None = None, o=None, g: str | None = None, graphs: bool = False) -> DataFrame:
         parts = []

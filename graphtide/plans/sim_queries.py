@@ -10,9 +10,13 @@ from graphtide.operators import analysis as S
 from graphtide.operators import bridge as B
 from graphtide.operators import causal as C
 from graphtide.operators import discrete as Q
+from graphtide.operators import decompose
 from graphtide.operators import dynamics as D
+from graphtide.operators import hybrid as H
 from graphtide.operators import patterns as P
-from graphtide.sources import series
+from graphtide.operators.inference import Lattice, validate_types
+from graphtide.operators.scenario import Comparison
+from graphtide.sources import graph_json, series
 from graphtide.sources.sysd import parse_sysd
 
 from .kb_queries import EX, kb, table
@@ -508,3 +512,63 @@ def availability_calendar(spark, sf_dir):
 def disruption_amplification(spark, sf_dir):
     runs = table(spark, sf_dir, "nation").where("n_nationkey > 0").select(F.col("n_nationkey").cast("long").alias("run_id"), F.lit(10.0).alias("buyers"), F.lit(5.0).alias("base"), (F.col("n_nationkey") * 0.5).alias("panic"), F.lit(10).alias("start"), F.lit(8).alias("length"))
     return P.amplification(P.disruption_cascade(runs)).select("run_id", (F.col("amplification") > 1.1).alias("amplified"))
+
+
+# ---------------------------------------------------------------- agents and queues inside models, scenarios, codecs
+
+_HYBRID = parse_sysd(
+    'dt 1\nfrom 0 to 10\naux pressure: 0\nstock Sold: 0\n  + sell: Shop_stock_sum\nagent "Shop": 3\n  property "stock": 10, min=0, max=100\n  rule grow: when t < 5\n    stock += pressure\n'
+    'queue "Till": capacity 4, servers 1, service_time 0.5, event_driven\n  arrival_rate pressure\n'
+)
+
+
+@registered("SELECT n_nationkey::BIGINT AS run_id, round(3 * (sum(10.0 + least(s + 1, 5) * n_nationkey * 0.5) ), 4) AS sold FROM nation, range(0, 10) t(s) GROUP BY 1")
+def abm_in_model(spark, sf_dir):
+    """Agents act before the stocks move, and the stock reads their sum."""
+    runs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("run_id"), (F.col("n_nationkey") * 0.5).alias("pressure"))
+    return H.simulate_hybrid(_HYBRID, runs, last=True).where("var = 'Sold'").select("run_id", r("value").alias("sold"))
+
+
+@registered("SELECT n_nationkey::BIGINT AS run_id, floor(11 * n_nationkey * 0.5)::DOUBLE AS arrivals FROM nation")
+def des_in_model(spark, sf_dir):
+    """Whole arrivals from a rate, at each of the steps and at the end."""
+    runs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("run_id"), (F.col("n_nationkey") * 0.5).alias("pressure"))
+    return H.simulate_hybrid(_HYBRID, runs, last=True).where("var = 'Till_arrivals'").select("run_id", F.col("value").alias("arrivals"))
+
+
+@registered("SELECT n_name AS scenario, round(100 * pow(1 - 0.05 * (n_nationkey + 1) / 25.0, 20), 4) AS value, round((pow(1 - 0.05 * (n_nationkey + 1) / 25.0, 20) - pow(1 - 0.05 / 25, 20)) / pow(1 - 0.05 / 25, 20), 4) AS deviation FROM nation")
+def scenario_comparison(spark, sf_dir):
+    m = parse_sysd("dt 0.5\nfrom 0 to 10\naux k: 0.1\nstock Level: 100\n  - drain: Level * k\n")
+    names = [x.n_name for x in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    c = Comparison(spark, lambda runs: D.simulate_sql(m, runs), {n: {"k": 0.1 * (i + 1) / len(names)} for i, n in enumerate(names)})
+    return c.deviation_table().select("scenario", r("value").alias("value"), r("deviation").alias("deviation"))
+
+
+@registered("SELECT r_name AS graph, n_name AS name, 'PART_OF' AS type FROM nation JOIN region ON n_regionkey = r_regionkey")
+def graph_json_roundtrip(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    none = F.lit(None).cast("string")
+    nodes = n.select(F.col("r_name").alias("graph"), F.col("n_name").alias("id"), F.col("n_name").alias("name"), F.lit("ENTITY").alias("type"), none.alias("parent"), none.alias("text"))
+    edges = n.select(F.col("r_name").alias("graph"), F.col("n_name").alias("source"), F.col("r_name").alias("target"), F.lit("PART_OF").alias("type"), F.lit("positive").alias("polarity"))
+    back_nodes, back_edges = graph_json.read_graphs(graph_json.write_graphs(nodes, edges))
+    return back_nodes.join(back_edges.withColumnRenamed("type", "edge"), (back_nodes["graph"] == back_edges["graph"]) & (F.col("id") == F.col("source"))).select(back_nodes["graph"], "name", F.col("edge").alias("type"))
+
+
+@registered("SELECT * FROM (VALUES ('CONTINUANT', 2), ('PROCESS', 3), ('QUALITY', 1), ('CAUSES', 8)) t(type, n)")
+def model_as_graph(spark, sf_dir):
+    m = parse_sysd("aux rate: A * 0.1\nstock A: 10\n  + grow: rate\n  - move: A * 0.2\nstock B: 0\n  + move: A * 0.2\n  - leave: B\n")
+    return decompose.of_model(spark, m).summary()
+
+
+@registered("SELECT event_id, event_type IN ('purchase', 'view') AS valid FROM events")
+def tbox_validation(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("node_type"), F.lit("causes").alias("edge_type"))
+    return validate_types(rows, ["PURCHASE", "View"], graph_json.load_tbox()["edges"]).select("event_id", "valid")
+
+
+@registered("SELECT o_orderkey, c_mktsegment = 'BUILDING' AS valid FROM orders JOIN customer ON o_custkey = c_custkey")
+def lattice_edge_validation(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    types = c.select("c_mktsegment").distinct().select(F.col("c_mktsegment").alias("name"), F.lit("segment").alias("parent"), F.create_map(F.lit("material"), F.col("c_mktsegment") == "BUILDING").alias("properties"))
+    edges = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_mktsegment").alias("source_type"), F.lit("none").alias("target_type"), F.lit("material").alias("needs_source"), F.lit(None).cast("string").alias("needs_target"))
+    return Lattice(types).valid_edges(edges).select("o_orderkey", "valid")
