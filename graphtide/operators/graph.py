@@ -165,6 +165,30 @@ class MappedGraph:
             return self.spark.createDataFrame([], QUAD)
         return reduce(DataFrame.unionByName, parts)
 
+    def star(self, predicates: list[str], g: str | None = None) -> DataFrame | None:
+        """(g, s, s_kind, o0, o1, ...): the objects of several predicates of one subject, without a join.
+
+        None unless ids are unique, no mapping's ids can be another's, and no mapping has a predicate twice.
+        """
+        prefixes = [m.prefix for m, _ in self.mapped]
+        apart = all(i == j or not b.startswith(a) for i, a in enumerate(prefixes) for j, b in enumerate(prefixes))
+        if not apart or not all(m.unique for m, _ in self.mapped):
+            return None
+        parts = []
+        for mapping, source in self.mapped:
+            objects = mapping.objects()
+            known = [p for p, _ in objects]
+            if (g is not None and mapping.graph != g) or not set(predicates) <= set(known):
+                continue
+            if len(set(known)) < len(known):
+                return None
+            values = dict(objects)
+            rows = source.select(F.lit(mapping.graph).alias("g"), mapping.subject().alias("s"), F.lit(T.IRI).cast("tinyint").alias("s_kind"), *[values[p].alias(f"o{i}") for i, p in enumerate(predicates)])
+            parts.append(rows.where("s is not null" + "".join(f" and o{i} is not null" for i in range(len(predicates)))))
+        if not parts:
+            return self.spark.createDataFrame([], "g string, s string, s_kind tinyint" + "".join(f", o{i} {T.TERM}" for i in range(len(predicates))))
+        return reduce(DataFrame.unionByName, parts)
+
     def query(self, text: str, **options) -> DataFrame:
         from graphtide.plans.sparql import query
 

@@ -36,7 +36,7 @@ def table(spark, sf_dir, name) -> DataFrame:
 
 def _mapping(cls, key, prefix, **columns) -> M.Mapping:
     made = {c: {"predicate": EX + p, "type": t, "iri_prefix": EX + (x[0] if x else "")} for c, (p, t, *x) in columns.items()}
-    return M.Mapping(EX + cls, key, EX + prefix, "graph/" + cls, None, made)
+    return M.Mapping(EX + cls, key, EX + prefix, "graph/" + cls, None, made, True)
 
 
 MAPPINGS = {

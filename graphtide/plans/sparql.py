@@ -84,8 +84,6 @@ class Compiler:
         return ends if p.op == "+" else ends.union(nodes).distinct()
 
     def bgp(self, patterns: list[Pattern]) -> tuple[DataFrame, set[str]]:
-        left = list(patterns)
-
         def cost(t: Pattern) -> tuple:
             bound = [isinstance(x, Const) for x in (t.s, t.o, t.p)]
             return (-bound[0], -bound[1], isinstance(t.p, Path), -bound[2])
@@ -93,16 +91,44 @@ class Compiler:
         def names(t: Pattern) -> set[str]:
             return {x.name for x in (t.s, t.p, t.o, t.graph) if isinstance(x, Var)}
 
-        left.sort(key=cost)
+        units = [(min(map(cost, used)), own, rows, used) for rows, own, used in self.stars(patterns)]
+        starred = {id(t) for *_, used in units for t in used}
+        units += [(cost(t), names(t), self.pattern(t), [t]) for t in patterns if id(t) not in starred]
+        left = sorted(units, key=lambda u: u[0])
         out, have = None, set()
         while left:
-            t = next((x for x in left if names(x) & have), left[0])
-            left.remove(t)
-            rows = self.pattern(t)
-            out = rows if out is None else self.join(out, rows, have, names(t), set(), set())
-            have |= names(t)
+            u = next((x for x in left if x[1] & have), left[0])
+            left = [x for x in left if x is not u]
+            out = u[2] if out is None else self.join(out, u[2], have, u[1], set(), set())
+            have |= u[1]
         return out, have
 
+    def stars(self, patterns: list[Pattern]):
+        """Patterns on one subject variable with constant predicates, where the graph can read them in one scan:
+        (rows, variables, patterns)."""
+        if not hasattr(self.graph, "star"):
+            return
+        by_subject: dict[str, list[Pattern]] = {}
+        for t in patterns:
+            if isinstance(t.s, Var) and isinstance(t.p, Const) and (t.graph is None or isinstance(t.graph, Const)):
+                by_subject.setdefault((t.s.name, t.graph), []).append(t)
+        for (subject, graph), ts in by_subject.items():
+            if len(ts) < 2 or len({t.p.lex for t in ts}) < len(ts):
+                continue
+            rows = self.graph.star([t.p.lex for t in ts], graph.lex if graph is not None else None)
+            if rows is None:
+                return
+            named: dict[str, list[Column]] = {subject: [T.term(F.col("s_kind"), F.col("s"))]}
+            for i, t in enumerate(ts):
+                if isinstance(t.o, Const):
+                    rows = rows.where(T.key(F.col(f"o{i}")) == T.key(_const(t.o)))
+                else:
+                    named.setdefault(t.o.name, []).append(F.col(f"o{i}"))
+            for same in named.values():
+                for other in same[1:]:
+                    rows = rows.where(T.key(same[0]) == T.key(other))
+            yield rows.select(*[c[0].alias(n) for n, c in named.items()]), set(named), ts
+
     def join(self, a: DataFrame, b: DataFrame, va: set[str], vb: set[str], loose_a: set[str], loose_b: set[str], how: str = "inner", extra=None) -> DataFrame:
         """Joins solutions on shared variables. loose: variables that may be unbound, which go with any value."""
         shared = sorted(va & vb)

@@ -16,7 +16,10 @@ DATATYPES = {"string": "string", "float": "double", "integer": "integer", "boole
 
 @dataclass
 class Mapping:
-    """One table's mapping: a class, an id column, and a predicate with a type for each mapped column."""
+    """One table's mapping: a class, an id column, and a predicate with a type for each mapped column.
+
+    unique: the id column has no value twice; then patterns on one subject are read in one scan.
+    """
 
     cls: str
     id_column: str
@@ -24,6 +27,7 @@ class Mapping:
     graph: str = "default"
     csv: str | None = None
     columns: dict[str, dict] = field(default_factory=dict)
+    unique: bool = False
 
     @classmethod
     def parse(cls, spec: dict) -> Mapping:
@@ -40,7 +44,7 @@ class Mapping:
                 raise ValueError(f"column {name}: unknown type {kind!r}")
             columns[name] = {"predicate": expand(c["predicate"]), "type": kind, "iri_prefix": expand(c.get("iri_prefix") or "")}
         entity = spec["entity"]
-        return cls(expand(entity["class"]), entity["id_column"], expand(entity.get("id_prefix") or ""), expand(spec.get("target_graph") or "default"), spec.get("csv"), columns)
+        return cls(expand(entity["class"]), entity["id_column"], expand(entity.get("id_prefix") or ""), expand(spec.get("target_graph") or "default"), spec.get("csv"), columns, bool(entity.get("unique", False)))
 
     @classmethod
     def load(cls, path: str) -> Mapping:
