@@ -19,7 +19,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     shared_dir(edges.sparkSession)
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).where("node is not null").distinct()
-    state = None
     for _ in range(most_rounds):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -27,11 +26,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         e = small.checkpoint()
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
+        # Done when every node has one edge down, to a node that has none.
+        counted = e.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("nodes")).first()
+        if counted["n"] == counted["nodes"] and not e.join(e.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
             break
-        state = now
     else:
         raise RuntimeError(f"no fixpoint after {most_rounds} rounds")
-    found = e.groupBy("u").agg(F.min("v").alias("component"))
-    return nodes.join(found, nodes["node"] == found["u"], "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.join(e, nodes["node"] == e["u"], "left").select("node", F.coalesce("v", "node").alias("component"))
