@@ -107,6 +107,14 @@ def length_grid(departures: DataFrame, start: float, end: float, dt: float) -> D
     return moves.unionByName(grid).withColumn("length", F.sum("d").over(w)).where("probe = 1").select("queue", "t", "length")
 
 
+def balks(departures: DataFrame, limit: int) -> DataFrame:
+    """(queue, balks): arrivals that found at least ``limit`` entities in their queue; they still join it."""
+    moves = departures.select("queue", F.explode(F.array(F.struct(F.col("arr_t").alias("t"), F.lit(1).alias("d"), F.lit(1).alias("order")), F.struct(F.col("dep_t").alias("t"), F.lit(-1).alias("d"), F.lit(0).alias("order")))).alias("m")).select("queue", "m.*").where("t is not null")
+    w = Window.partitionBy("queue").orderBy("t", "order").rowsBetween(Window.unboundedPreceding, -1)
+    found = moves.withColumn("before", F.coalesce(F.sum("d").over(w), F.lit(0))).where("d = 1")
+    return found.groupBy("queue").agg(F.count_if(F.col("before") >= limit).alias("balks"))
+
+
 def queue_metrics(departures: DataFrame, grid: DataFrame) -> DataFrame:
     """Arrivals, departures, mean wait, and over the grid's samples mean and largest length and the busy share."""
     served = departures.groupBy("queue").agg(F.count(F.lit(1)).alias("arrivals"), F.count("start_t").alias("departures"), F.avg(F.col("start_t") - F.col("arr_t")).alias("avg_wait"))

@@ -348,6 +348,11 @@ def ask(graph, text: str) -> bool:
     return bool(query(graph, text).first()[0])
 
 
+def bindings(rows: DataFrame, most: int = 1000) -> list[dict[str, str]]:
+    """The first solutions as dictionaries of lexical forms; unbound variables are missing."""
+    return [{n: r[n]["lex"] for n in rows.columns if r[n] is not None} for r in rows.limit(most).collect()]
+
+
 def flat(rows: DataFrame, **columns: str) -> DataFrame:
     """Plain columns from terms: name="lex", "num", "long", "lang", "dt" or "bool" for each variable."""
     out = []
