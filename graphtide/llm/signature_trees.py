@@ -94,44 +94,56 @@ class Routing:
         return np.concatenate(found)
 
 
-_LIGHT = "rid long, doc_id long, n long, s0 long, s1 long, keys array<long>, owners array<long>, near array<long>, hub array<long>"
+_LIGHT = "rid long, doc_id long, n long, s0 long, s1 long"
 
 
-def _light(k: int, percent: int, chunk: int = 512):
-    """Per document its set size and set hash; on the first row of each chunk the chunk's keys and links.
+def _set_hash(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits that are equal for equal sets."""
+    return mix(s ^ _C2).sum(dtype=np.uint64), mix(s + _C3).sum(dtype=np.uint64)
 
-    A key that several documents of a chunk have goes on once; the others are linked to its owner here.
+
+def _light(k: int):
+    """Per document its set size and set hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            m = batch.num_rows
+            n, s0, s1 = np.zeros(m, np.int64), np.zeros(m, np.uint64), np.zeros(m, np.uint64)
+            for i, text in enumerate(batch.column(1)):
+                s = shingle_set(text.as_py() or "", k)
+                n[i], (s0[i], s1[i]) = len(s), _set_hash(s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + m)), batch.column(0), pa.array(n), pa.array(s0.view(np.int64)), pa.array(s1.view(np.int64))], ["rid", "doc_id", "n", "s0", "s1"])
+            rid += m
+
+    return run
+
+
+def _keys(k: int, percent: int, chunk: int = 512):
+    """(text) -> (key, owner) for each key of each distinct set of a chunk; owners are sets' hashes.
+
+    A key that several sets of a chunk have goes on once; each of the others goes on once with it, under a key
+    of the two. Sets that share an owner's hash by chance only meet more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        routing, rid = Routing(percent), TaskContext.get().partitionId() << 33
+        routing = Routing(percent)
         for batch in batches:
             for start in range(0, batch.num_rows, chunk):
-                part = batch.slice(start, chunk)
-                m = part.num_rows
-                rids = np.arange(rid, rid + m)
-                rid += m
-                n, s0, s1, keys, counts, seen = np.zeros(m, np.int64), np.zeros(m, np.uint64), np.zeros(m, np.uint64), [], np.zeros(m, np.int64), set()
-                for i, text in enumerate(part.column(1)):
+                found = {}
+                for text in batch.slice(start, chunk).column(0):
                     s = shingle_set(text.as_py() or "", k)
-                    n[i], s0[i], s1[i] = len(s), mix(s ^ _C2).sum(dtype=np.uint64), mix(s + _C3).sum(dtype=np.uint64)
-                    if (same := (n[i], s0[i], s1[i])) not in seen:  # equal sets are linked by their hashes
-                        seen.add(same)
-                        keys.append(routing.keys(s))
-                        counts[i] = len(keys[-1])
-                flat, owner = np.concatenate(keys) if keys else np.empty(0, np.uint64), np.repeat(rids, counts)
-                once, first, back = np.unique(flat, return_index=True, return_inverse=True)
-                hubs = owner[first][back]
-                links = np.unique(np.stack((owner, hubs))[:, owner != hubs], axis=1)
-
-                def on_first(values, m=m):
-                    values = np.ascontiguousarray(values)
-                    return pa.ListArray.from_arrays(pa.array([0] + [len(values)] * m, pa.int32()), pa.array(values.view(np.int64), pa.int64()))
-
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rids), part.column(0), pa.array(n), pa.array(s0.view(np.int64)), pa.array(s1.view(np.int64)), on_first(once), on_first(owner[first]), on_first(links[0]), on_first(links[1])],
-                    ["rid", "doc_id", "n", "s0", "s1", "keys", "owners", "near", "hub"],
-                )
+                    if len(s) and (same := (len(s), *_set_hash(s))) not in found:
+                        found[same] = routing.keys(s)
+                if not found:
+                    continue
+                keys, owners = np.concatenate(list(found.values())), np.repeat(np.array([h for _, h, _ in found], np.uint64), [len(x) for x in found.values()])
+                once, first, back = np.unique(keys, return_index=True, return_inverse=True)
+                hubs = owners[first][back]
+                near, hub = np.unique(np.stack((owners, hubs))[:, owners != hubs], axis=1)
+                pair = mix(mix(near) + hub)
+                keys, owners = np.concatenate((once, pair, pair)), np.concatenate((owners[first], near, hub))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owners.view(np.int64))], ["key", "owner"])
 
     return run
 
@@ -300,7 +312,7 @@ def _sets_again(k: int):
                 seen = {}
                 for text in batch.slice(start, 512).column(0):
                     s = shingle_set(text.as_py() or "", k)
-                    seen[len(s), int(mix(s ^ _C2).sum(dtype=np.uint64)), int(mix(s + _C3).sum(dtype=np.uint64))] = s
+                    seen[len(s), *map(int, _set_hash(s))] = s
                 rows = list(seen.items())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0][0] for r in rows], pa.int64()), *[pa.array(np.array([r[0][j] for r in rows], np.uint64).view(np.int64)) for j in (1, 2)], pa.array([r[1].tobytes() for r in rows], pa.binary())],
@@ -310,7 +322,7 @@ def _sets_again(k: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block_shingles: int = 1_000_000, bitmap_bits: int = 1 << 26) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block_shingles: int = 2_000_000, bitmap_bits: int = 1 << 26) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of the documents; rows of one doc_id count as copies.
 
     Documents link when 100 * |A & B| >= percent * |A | B| over their sets of k-word shingles;
@@ -324,14 +336,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block_shi
     scratch = Scratch(docs.sparkSession, "jaccard")
     small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    light = scratch.write(source.mapInArrow(_light(k, percent), _LIGHT), "light")
-    node = light.groupBy("n", "s0", "s1").agg(F.min("rid").alias("rep")).where("n > 0")
-
-    met = light.where(F.size("keys") > 0).select(F.explode(F.arrays_zip("keys", "owners")).alias("k")).select("k.keys", "k.owners").repartition("keys").sortWithinPartitions("keys", "owners").mapInArrow(_meet, "a long, b long")
-    near = light.where(F.size("near") > 0).select(F.explode(F.arrays_zip("near", "hub")).alias("k")).select(F.col("k.near").alias("a"), F.col("k.hub").alias("b"))
-    to_rep = light.select("rid", "n", "s0", "s1").join(node, ["n", "s0", "s1"]).select("rid", "rep")
-    raw = scratch.write(met.union(near).distinct(), "met")
-    edges = raw.join(to_rep.select(F.col("rid").alias("a"), F.col("rep").alias("ra")), "a").join(to_rep.select(F.col("rid").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b")
+    light = scratch.write(source.mapInArrow(_light(k), _LIGHT), "light")
+    node = scratch.write(light.groupBy("n", "s0", "s1").agg(F.min("rid").alias("rep")).where("n > 0"), "node")
+
+    # Keys are made in a reading of their own and go straight to the shuffle: stored, they would be the largest table.
+    keys = source.select("text").mapInArrow(_keys(k, percent), "key long, owner long")
+    raw = scratch.write(keys.repartition("key").sortWithinPartitions("key", "owner").mapInArrow(_meet, "a long, b long").distinct(), "met")
+    edges = raw.join(node.select(F.col("s0").alias("a"), F.col("rep").alias("ra")), "a").join(node.select(F.col("s0").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b")
     cells = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("cell"))
     sized = cells.join(node, "rep").withColumn("cell_key", F.col("cell").cast("string"))
     placed = scratch.write(_blocks(sized, block_shingles).select("rep", "cell", "n", "s0", "s1", "block"), "placed")
@@ -374,10 +385,12 @@ def _across(scratch: Scratch, inner: DataFrame, members: DataFrame, label: DataF
     merges = walked.join(comp_of, "rep").select(F.col("own").alias("a"), F.col("comp").alias("rep")).join(comp_of, "rep").select("a", F.col("own").alias("b"))
     merges = scratch.write(merges, "merges")
     now = _relabel(inner, merges)
-    blocks = scratch.write(now.groupBy("cell", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "blocks")
+    blocks = scratch.write(now.groupBy("cell", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")), "blocks")
     main = blocks.where("lo = hi").groupBy("cell", "lo").count().groupBy("cell").agg(F.max_by("lo", F.struct("count", "lo")).alias("main"))
-    odd = blocks.join(main, "cell", "left").where("main is null or lo <> main or hi <> main").select("cell", F.col("block").alias("i"))
-    jobs = odd.join(blocks.select("cell", F.col("block").alias("j")), "cell").where("i <> j").select("cell", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    odd = blocks.join(main, "cell", "left").where("main is null or lo <> main or hi <> main").select("cell", F.col("block").alias("i"), "least", "most")
+    # Blocks are in order of size; those whose sizes are too far apart for any link aren't brought together.
+    jobs = odd.join(blocks.select("cell", F.col("block").alias("j"), F.col("least").alias("least_j"), F.col("most").alias("most_j")), "cell")
+    jobs = jobs.where(f"i <> j and 100 * most >= {percent} * least_j and 100 * most_j >= {percent} * least").select("cell", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
     jobs = scratch.write(jobs, "jobs")
     sides = jobs.select("cell", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).union(jobs.select("cell", "i", "j", "j", F.lit(1)))
     rows = sides.join(members.join(now.select("rep", "comp"), "rep"), ["cell", "block"])
