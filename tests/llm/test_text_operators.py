@@ -244,6 +244,29 @@ def test_lines_against_brute_force(docs, spark):
     assert sum("W" in (t or "") and d >= 30000 for d, t in got) < 40
 
 
+def test_most_lines_at_the_threshold_are_found(spark):
+    """Recall against the edit similarity of all pairs, with a fifth of the words changed; many words are short."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.choice([2, 3, 5, 7]))) for _ in range(4000)]
+    lines = []
+    for _ in range(300):
+        words = [vocabulary[int(4000 * rng.random() ** 2)] for _ in range(rng.randrange(5, 80))]
+        lines.append(words)
+        changed = list(words)
+        for i in rng.sample(range(len(words)), len(words) // 5):
+            changed[i] = "new%s" % rng.choice(vocabulary)
+        lines.append(changed)
+    split = [line_dedup.normalised(" ".join(x)).split() for x in lines]
+    true = [(a, b) for a in range(len(split)) for b in range(a) if line_dedup.similar(split[a], split[b], 80)]
+    assert len(true) >= 300
+    bits = line_dedup.parities(split).view(np.uint64)
+    assert all(np.bitwise_count(bits[a] ^ bits[b]).sum() <= 2 * (max(len(split[a]), len(split[b])) // 5) for a, b in true)
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], DOC)
+    gone = {r.doc_id for r in line_dedup.dedup_lines(df).collect() if r.n_removed}
+    assert gone <= {a for a, _ in true}
+    assert len(gone) >= 0.95 * len({a for a, _ in true})
+
+
 def test_lines_of_odd_rows(spark, docs):
     rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs.where("doc_id >= 20000").withColumn("n_lines", F.lit("x"))).collect()}
     assert rows[20000].text is None and rows[20001].text == "" and rows[20002].text == " \n\t"
