@@ -63,6 +63,11 @@ def sd_rk4_decay(spark, sf_dir):
     return D.simulate_sql(DECAY, runs, "rk4").select("run_id", F.col("step").cast("long").alias("step"), r("value").alias("value"))
 
 
+@registered("SELECT c_custkey AS run_id, s AS step, round(c_acctbal * pow(1 - 0.05 + 0.05 * 0.05 / 2 - pow(0.05, 3) / 6 + pow(0.05, 4) / 24, s), 4) AS value FROM customer, range(0, 21) t(s)")
+def sd_rk4_decay_whole(spark, sf_dir):
+    return D.simulate_sql(DECAY, _runs(spark, sf_dir).select("run_id", "Level"), "rk4").select("run_id", F.col("step").cast("long").alias("step"), r("value").alias("value"))
+
+
 @registered("SELECT c_custkey AS run_id, round(c_acctbal + 2.5 * c_nationkey * 7, 4) AS value FROM customer")
 def sd_linear_batch(spark, sf_dir):
     m = parse_sysd("dt 1\nfrom 0 to 7\naux nation: 0\nstock Level: 0\n  + fill: 2.5 * nation\n")
@@ -233,6 +238,13 @@ def des_multi_server(spark, sf_dir):
     return Q.multi_server(a, 2).groupBy("queue").agg(F.count(F.lit(1)).alias("n"), r(F.sum(F.col("start_t") - F.col("arr_t")), 1).alias("total_wait"))
 
 
+@registered(f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY arr_t, entity_id) AS n FROM ({_ARR})), o AS (SELECT queue, list({{'a': arr_t, 's': service_t}} ORDER BY n) AS xs FROM a GROUP BY queue),
+ d AS (WITH RECURSIVE f AS (SELECT queue, 0 AS n, -1e18::DOUBLE AS f1, -1e18::DOUBLE AS f2, 0.0::DOUBLE AS w FROM o UNION ALL SELECT f.queue, f.n + 1, greatest(least(f1, f2), 0) * 0 + greatest(f1, f2), greatest(xs[f.n + 1].a, least(f1, f2)) + xs[f.n + 1].s, greatest(0, least(f1, f2) - xs[f.n + 1].a) FROM f JOIN o USING (queue) WHERE f.n < len(xs)) SELECT * FROM f WHERE n > 0)
+ SELECT queue, count(*) AS n, round(sum(w), 1) AS total_wait FROM d GROUP BY queue""")
+def des_multi_server_whole(spark, sf_dir):
+    return Q.multi_server(_arrivals(spark, sf_dir), 2).groupBy("queue").agg(F.count(F.lit(1)).alias("n"), r(F.sum(F.col("start_t") - F.col("arr_t")), 1).alias("total_wait"))
+
+
 @registered(f"""WITH a AS ({_ARR}), c AS (SELECT *, sum(service_t) OVER w AS cum FROM a WINDOW w AS (PARTITION BY queue ORDER BY arr_t, entity_id ROWS UNBOUNDED PRECEDING)),
  d AS (SELECT queue, arr_t, cum + max(arr_t - (cum - service_t)) OVER (PARTITION BY queue ORDER BY arr_t, entity_id ROWS UNBOUNDED PRECEDING) AS dep_t FROM c)
  SELECT q.queue, g.x * 43200.0 AS t, (SELECT count(*) FROM d WHERE d.queue = q.queue AND arr_t <= g.x * 43200.0) - (SELECT count(*) FROM d WHERE d.queue = q.queue AND dep_t <= g.x * 43200.0) AS length FROM (SELECT DISTINCT queue FROM d) q, range(0, 41) g(x)""")
@@ -255,6 +267,14 @@ def des_edd_order(spark, sf_dir):
     return out.select("queue", "entity_id", (F.col("start_t") - 1).cast("long").alias("place"))
 
 
+@registered("SELECT 'q' AS queue, entity_id, row_number() OVER (ORDER BY due, entity_id) - 1 AS place FROM (SELECT event_id AS entity_id, (event_id * 7919) % 1000003 AS due FROM events WHERE event_id > 0)")
+def des_edd_order_whole(spark, sf_dir):
+    """As des_edd_order, of all events."""
+    e = table(spark, sf_dir, "events").select(F.lit("q").alias("queue"), F.col("event_id").alias("entity_id"), F.lit(0.0).alias("arr_t"), F.lit(1.0).alias("service_t"), F.when(F.col("event_id") == 0, -1).otherwise((F.col("event_id") * 7919) % 1000003).cast("double").alias("due_date"))
+    out = Q.queue_loop(e, discipline="EDD").where("entity_id > 0")
+    return out.select("queue", "entity_id", (F.col("start_t") - 1).cast("long").alias("place"))
+
+
 @registered("SELECT 'dock' AS resource, x AS request_id, CAST(x // 3 * 10 AS DOUBLE) AS granted_t FROM range(0, 30) t(x)")
 def des_resource(spark, sf_dir):
     """Thirty requests at once for three units, held for ten: three are granted every ten."""
@@ -310,6 +330,13 @@ def abm_message_fanout(spark, sf_dir):
     return A.deliver(mail, buyers.where("inst % 50 = 0")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sender").alias("senders"))
 
 
+@registered("SELECT count(*) AS n, count(DISTINCT sender) AS senders FROM (SELECT a.c_custkey AS sender, b.c_custkey FROM customer a, customer b WHERE (CASE WHEN a.c_acctbal < 1000 AND a.c_acctbal >= -100 THEN (CASE WHEN a.c_acctbal > 0 THEN a.c_acctbal * 0.9 ELSE a.c_acctbal END) + 50 ELSE a.c_acctbal END) < 0)")
+def abm_message_fanout_whole(spark, sf_dir):
+    buyers = _buyers(spark, sf_dir)
+    _, mail = A.step(_AGENT, buyers, {}, 0.0)
+    return A.deliver(mail, buyers).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sender").alias("senders"))
+
+
 @registered("""WITH e AS (SELECT s_suppkey AS a, (s_suppkey * 7 + 3) % (SELECT count(*) FROM supplier) + 1 AS b FROM supplier UNION ALL SELECT s_suppkey, (s_suppkey * 11 + 5) % (SELECT count(*) FROM supplier) + 1 FROM supplier)
  SELECT e.a AS inst, round(avg(s_acctbal), 4) AS avg_, round(min(s_acctbal), 4) AS min_, round(max(s_acctbal), 4) AS max_ FROM e JOIN supplier ON e.b = s_suppkey GROUP BY 1""")
 def abm_neighbor_agg(spark, sf_dir):
@@ -352,6 +379,14 @@ def sobol_estimator(spark, sf_dir):
     return S.sobol(o.select(F.col("l_orderkey").alias("row"), F.explode(parts).alias("x")).select("row", "x.*")).select("param", r("first").alias("first"), r("total").alias("total"))
 
 
+@registered("""WITH o AS (SELECT l_orderkey AS k, l_quantity AS ya, l_extendedprice / 1000 AS yb, l_quantity * 0.5 + l_extendedprice / 2000 AS y1, l_tax * 100 AS y2 FROM lineitem), m AS (SELECT (sum(ya) + sum(yb)) / (2 * count(*)) AS f0, (sum(ya * ya) + sum(yb * yb)) / (2 * count(*)) - pow((sum(ya) + sum(yb)) / (2 * count(*)), 2) AS v FROM o)
+ SELECT p AS param, round(greatest(0, least(1, (avg(yb * y) - f0 * f0) / v)), 4) AS first, round(greatest(0, least(1, 1 - (avg(ya * y) - f0 * f0) / v)), 4) AS total FROM (SELECT 'x1' AS p, ya, yb, y1 AS y FROM o UNION ALL SELECT 'x2', ya, yb, y2 FROM o), m GROUP BY p, f0, v""")
+def sobol_estimator_whole(spark, sf_dir):
+    parts = F.array(*[F.struct(F.lit(p).alias("part"), y.alias("y")) for p, y in (("A", F.col("l_quantity")), ("B", F.col("l_extendedprice") / 1000), ("AB_x1", F.col("l_quantity") * 0.5 + F.col("l_extendedprice") / 2000), ("AB_x2", F.col("l_tax") * 100))])
+    o = table(spark, sf_dir, "lineitem").select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("row"), F.explode(parts).alias("x"))
+    return S.sobol(o.select("row", "x.*")).select("param", r("first").alias("first"), r("total").alias("total"))
+
+
 @registered("""WITH e AS (SELECT o_custkey AS g, 'p' || (o_orderkey % 3) AS p, (o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)) / 0.5 AS d FROM orders)
  SELECT p AS param, round(avg(d), 2) AS mu, round(avg(abs(d)), 2) AS mu_star, round(stddev_samp(d), 2) AS sigma FROM e WHERE d IS NOT NULL GROUP BY 1""")
 def morris_effects(spark, sf_dir):
@@ -394,6 +429,12 @@ def calibration_errors(spark, sf_dir):
     return S.errors(D.simulate_sql(DECAY, runs), observed).select("run_id", r("sse", 2).alias("sse"))
 
 
+@registered("SELECT c_custkey AS run_id, round(sum(pow(c_acctbal * pow(0.95, s) - 10, 2)), 2) AS sse FROM customer, (VALUES (4), (10), (20)) t(s) GROUP BY 1")
+def calibration_errors_whole(spark, sf_dir):
+    observed = spark.createDataFrame([("Level", 2.0, 10.0), ("Level", 5.0, 10.0), ("Level", 10.0, 10.0)], "var string, t double, value double")
+    return S.errors(D.simulate_sql(DECAY, _runs(spark, sf_dir).select("run_id", "Level")), observed).select("run_id", r("sse", 2).alias("sse"))
+
+
 # ---------------------------------------------------------------- bridge
 
 
@@ -405,6 +446,14 @@ def params_from_kb(spark, sf_dir):
     return B.params_from_kb(kb(spark, sf_dir, "customer").materialise(), claims)
 
 
+@registered("SELECT 'c' || c_custkey AS name, c_acctbal AS value FROM customer UNION ALL SELECT 'missing', 0.5")
+def params_from_kb_whole(spark, sf_dir):
+    key = F.col("c_custkey").cast("string")
+    claims = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), key).alias("name"), F.concat(F.lit(EX + "c"), key).alias("s"), F.lit(EX + "balance").alias("p"))
+    claims = claims.union(spark.createDataFrame([("missing", EX + "nobody", EX + "balance")], claims.schema))
+    return B.params_from_kb(kb(spark, sf_dir, "customer").materialise(), claims)
+
+
 @registered(f"SELECT '{EX}p' || p_partkey AS s, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price FROM part")
 def params_for_class(spark, sf_dir):
     rows = B.params_for_class(kb(spark, sf_dir, "part").materialise(), EX + "Part")
@@ -426,6 +475,15 @@ def compare_runs(spark, sf_dir):
     return B.compare_runs(g).select("run", r("value", 3).alias("value"), r("change", 3).alias("change"))
 
 
+@registered("SELECT c_custkey AS run, round(c_acctbal * pow(0.95, 20), 3) AS value, round(c_acctbal * pow(0.95, 20) - lag(c_acctbal * pow(0.95, 20)) OVER (ORDER BY c_custkey), 3) AS change FROM customer")
+def compare_runs_whole(spark, sf_dir):
+    from graphtide.operators.graph import Graph
+
+    runs = _runs(spark, sf_dir).select("run_id", "Level")
+    g = Graph(B.provenance(D.simulate_sql(DECAY, runs), runs))
+    return B.compare_runs(g).select("run", r("value", 3).alias("value"), r("change", 3).alias("change"))
+
+
 @registered("SELECT count(*) FILTER (c_acctbal > 0) / count(*) AS share, true AS known FROM customer")
 def kb_query_binding(spark, sf_dir):
     """A graph query's number as a parameter of a run."""
