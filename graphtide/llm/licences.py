@@ -1,6 +1,7 @@
 """Licence recognition by sentences: known sentences become identifiers, sequences of them match rules.
 
-A text is cut into sentences, each is normalised and looked up; a rule is a licence with the sequence of
+A text is cut into sentences and these into lines; known sentences are found as runs of adjacent lines, over
+breaks too, since their own marks or a wrapped line may cut them. A rule is a licence with the sequence of
 identifiers that states it. Rules are tried in order, longer ones first, at each place of the text.
 """
 
@@ -77,17 +78,21 @@ TEXT_RULES = [
     ("Unlicense", ["unlicense"]),
 ]
 #: Every known sentence holds one of these stems; a text without any has no licence.
-STEMS = re.compile("licen|mpl|gpl|permission|redistribut|copyright|warrant|software|available under|released under|distributed under", re.IGNORECASE)
+STEMS = re.compile(r"licen|mpl|gpl|permission|redistribut|copyright|warrant|software|(?:available|released|distributed)\W+under", re.IGNORECASE)
 _BREAK = re.compile(r"(?<=[.!?:;])[ \t]+(?=[^ \t])|\n{2,}|(?<=[.!?:])\n|\n(?=[ \t]*[*\-\d(])")
 _LINE = re.compile(r"[^\n]+")
+_BULLET = re.compile(r"\d{1,2}|[a-c]")
 _PARTS = re.compile(r"[^a-z0-9.+]+")
 
 
+def _words(text: str) -> list[str]:
+    return [w for x in _PARTS.split(text.lower()) if (w := x.strip("."))]
+
+
 def normalise(sentence: str) -> str:
     """Lower case, marks as single spaces, no bullet in front, no full stop behind."""
-    words = [w.strip(".") for w in _PARTS.split(sentence.lower())]
-    words = [w for w in words if w]
-    if words and re.fullmatch(r"\d{1,2}|[a-c]", words[0]) and len(words) > 3:
+    words = _words(sentence)
+    if words and _BULLET.fullmatch(words[0]) and len(words) > 3:
         words = words[1:]
     return " ".join(words)
 
@@ -103,6 +108,12 @@ class Rules:
                 for form in STATEMENTS:
                     self.ids.setdefault(normalise(form.format(name)), f"is-{licence}")
             rules.append((licence, [f"is-{licence}"]))
+        self.tree: dict = {}  # word -> next words; the identifier of what ends there under ""
+        for sentence, i in self.ids.items():
+            node = self.tree
+            for word in sentence.split():
+                node = node.setdefault(word, {})
+            node[""] = i
         self.by_first: dict[str, list[tuple[str, list[str]]]] = {}
         for licence, sequence in sorted(rules, key=lambda r: -len(r[1])):
             self.by_first.setdefault(sequence[0], []).append((licence, sequence))
@@ -111,15 +122,17 @@ class Rules:
         """(licence, start, end) in characters, in order; matches don't overlap."""
         if not STEMS.search(text):
             return []
-        known = []  # (identifier, number of the sentence, start, end)
-        for number, (start, end) in enumerate(sentences(text)):
-            if (i := self.ids.get(normalise(text[start:end]))) is not None:
-                known.append((i, number, start, end))
-            else:  # a line, or a sentence in a line, may stand for itself within what has no mark at its end
-                for line in _LINE.finditer(text, start, end):
-                    if line.start() > start or line.end() < end:
-                        if (i := self.ids.get(normalise(line[0]))) is not None:
-                            known.append((i, number, line.start(), line.end()))
+        # Lines and the number of their sentence: where known sentences may begin and end.
+        lines = [(number, m.start(), m.end()) for number, (start, end) in enumerate(sentences(text)) for m in _LINE.finditer(text, start, end)]
+        known, at, joined = [], 0, 0  # (identifier, number of the sentence, start, end), what a match covers counts as one
+        while at < len(lines):
+            if (found := self._longest(text, lines, at)) is None:
+                at += 1
+                continue
+            i, last = found
+            known.append((i, lines[at][0] - joined, lines[at][1], lines[last][2]))
+            joined += lines[last][0] - lines[at][0]
+            at = last + 1
         out, at = [], 0
         while at < len(known):
             for licence, sequence in self.by_first.get(known[at][0], []):
@@ -133,6 +146,30 @@ class Rules:
         return out
 
 
+    def _longest(self, text: str, lines: list[tuple[int, int, int]], first: int) -> tuple[str, int] | None:
+        """(identifier, last line) of the longest known sentence that begins with a line and ends with one."""
+        words = _words(text[lines[first][1] : lines[first][2]])
+        for skip in range(2 if words and _BULLET.fullmatch(words[0]) else 1):
+            node, best, rest, last = self.tree, None, words[skip:], first
+            n = skip
+            while True:
+                n += len(rest)
+                for word in rest:
+                    if (node := node.get(word)) is None:
+                        break
+                if node is None:
+                    break
+                if "" in node and (n > 3 or not skip):
+                    best = node[""], last
+                last += 1
+                if last == len(lines) or node is self.tree:
+                    break
+                rest = _words(text[lines[last][1] : lines[last][2]])
+            if best:
+                return best
+        return None
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """Spans of sentences: they end at marks before white space, at blank lines and before list items; other line
     breaks are inside a sentence."""

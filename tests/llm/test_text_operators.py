@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -299,6 +300,31 @@ def test_licence_texts_in_order():
     assert rules.scan("") == []
 
 
+def test_every_known_sentence_is_found_on_one_line_and_wrapped():
+    rules = licences.Rules()
+    stated = [(i, s) for i, s in licences.SENTENCES.items()] + [(f"is-{name}", form.format(x)) for name, names in licences.NAMES.items() for x in [*names, name] for form in licences.STATEMENTS]
+    single = {r[1][0]: r[0] for r in licences.TEXT_RULES if len(r[1]) == 1} | {f"is-{n}": n for n in licences.NAMES}
+    for i, sentence in stated:
+        i = rules.ids[licences.normalise(sentence)]
+        shapes = [sentence, sentence + ".", f"Some words come first.\n\n{sentence}.\n\nAnd some behind.", f"no mark here\n{sentence}\nnor here"]
+        shapes += [textwrap.fill(sentence, width, break_long_words=False, break_on_hyphens=False) + "." for width in (1, 20, 37, 60, 76)]
+        shapes += ["\n".join("# " + x for x in textwrap.wrap(sentence, 60, break_long_words=False, break_on_hyphens=False))]
+        for text in shapes:
+            if i in single:
+                found = rules.scan(text)
+                assert [x[0] for x in found] == [single[i]], (sentence, text)
+                start, end = found[0][1:]
+                assert licences.normalise(text[start:end]) == licences.normalise(sentence)
+    hope = licences.SENTENCES["gpl-hope"] + "."
+    for free, name in (("gpl-free", "GPL-3.0-or-later"), ("gpl2-free", "GPL-2.0-or-later")):
+        for text in (f"{licences.SENTENCES[free]}. {hope}", f"{textwrap.fill(licences.SENTENCES[free] + '.', 70)}\n\n{textwrap.fill(hope, 70)}"):
+            (found,) = rules.scan(text)
+            assert found[0] == name and licences.normalise(text[found[1] : found[2]]).endswith("particular purpose")
+    apache = " ".join([licences.SENTENCES["apache-notice"] + ".", licences.SENTENCES["apache-copy"], "\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n", licences.SENTENCES["apache-basis"] + "."])
+    (found,) = rules.scan(apache)
+    assert found == ("Apache-2.0", 0, len(apache)) or found[2] >= len(apache) - 1
+
+
 # ---------------------------------------------------------------- pieces
 
 
