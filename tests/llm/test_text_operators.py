@@ -99,6 +99,23 @@ def test_scores_without_training(spark):
     assert (r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0) and r.score < 0
 
 
+def test_every_training_target_is_seen(spark):
+    size, k, start = 40, 12, attention_lm.START
+    ids_n = np.zeros(start, np.int64)
+    ids_n[:size] = 1
+    class_of = np.full(start, k - 1)
+    class_of[:size] = np.minimum(np.arange(size), k - 1)
+    none = np.empty(0, np.int64)
+    step, near, overall, rest, begins = attention_lm._distributions(ids_n, size, [(none, none)] * 2, class_of, k, np.ones(size, bool))
+    empty = attention_lm.Slots(np.empty(0, np.uint64))
+    model = attention_lm.Attention(class_of, k, step, near, overall, rest, begins, attention_lm.Prefixes([], empty, empty, np.zeros(1), np.zeros(1)))
+    lengths = [1, 7, 8, 9, 40, 56, 57, 200]
+    rows = [(n % 5 == 2, bytearray((np.arange(n) % size | start).astype("<u2").tobytes())) for n in lengths]
+    df = spark.createDataFrame(rows, "held_out boolean, ids binary").repartition(3)
+    seen = sum(r.seen for r in df.mapInArrow(attention_lm._train(spark.sparkContext.broadcast(model)), "seen long, params binary").collect())
+    assert seen == sum(n for n in lengths if n % 5 != 2)
+
+
 def test_the_model_is_a_distribution():
     rng = np.random.default_rng(1)
     size, k = 40, 12
