@@ -21,6 +21,7 @@ from .closure import settle
 
 _EFFECT = re.compile(r"^\s*(\w+)\s*(\+=|-=|\*=|/=|=)\s*(.+)$")
 _SEND = re.compile(r"^\s*SEND\(\s*['\"]?(\w+)['\"]?\s*,\s*['\"]?(\w+)['\"]?\s*(?:,\s*(.*))?\)\s*$")
+_TOPIC = re.compile(r"\binbox_(\w+)")
 _SWITCH = re.compile(r"^\s*SWITCH_STRATEGY\(\s*['\"]?(\w+)['\"]?\s*(?:,\s*cooldown\s*=\s*([\d.]+)\s*)?\)\s*$")
 
 
@@ -63,15 +64,17 @@ def network(spark: SparkSession, kind: str, n: int, name: str = "", seed: int =
     return table.union(table.select("b", "a"))
 
 
-def perceived(agents: DataFrame, properties: list[str], edges: DataFrame | None = None, inbox: DataFrame | None = None) -> DataFrame:
-    """With what agents see of their neighbours (neighbor_<p>_avg, _min, _max) and of their mail (inbox_<topic>)."""
+def perceived(agents: DataFrame, properties: list[str], edges: DataFrame | None = None, inbox: DataFrame | None = None, topics: list[str] | None = None) -> DataFrame:
+    """With what agents see of their neighbours (neighbor_<p>_avg, _min, _max) and of their mail (inbox_<topic>, for
+    the topics given or else all)."""
     out = agents
     if edges is not None:
         near = edges.join(agents.select(F.col("inst").alias("b"), *properties), "b").groupBy(F.col("a").alias("inst"))
         seen = near.agg(*[f(p).alias(f"neighbor_{p}_{n}") for p in properties for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))], F.count(F.lit(1)).alias("neighbor_count"))
         out = out.join(seen, "inst", "left")
     if inbox is not None:
-        topics = [r[0] for r in inbox.select("topic").distinct().orderBy("topic").limit(1000).collect()]
+        if topics is None:
+            topics = [r[0] for r in inbox.select("topic").distinct().orderBy("topic").collect()]
         if topics:
             out = out.join(inbox.groupBy("inst").pivot("topic", topics).count().select("inst", *[F.col(f"`{t}`").alias(f"inbox_{t}") for t in topics]), "inst", "left")
     return out
@@ -124,7 +127,8 @@ def decide(agent: Agent, seen: DataFrame, env: dict[str, float], t: float = 0.0)
 
 def step(agent: Agent, agents: DataFrame, env: dict[str, float], t: float, edges: DataFrame | None = None, inbox: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """One step: (agents, messages sent: sender, target_type, topic, payload). Mail sent now is read in the next step."""
-    seen = perceived(agents, [p.name for p in agent.properties], edges, inbox)
+    topics = sorted({t for r in agent.rules for text in (r.condition, *r.effects) for t in _TOPIC.findall(text)})
+    seen = perceived(agents, [p.name for p in agent.properties], edges, inbox, topics)
     out, sends = decide(agent, seen, env, t)
     out = settle(out)
     mail = agents.sparkSession.createDataFrame([], "sender long, target_type string, topic string, payload map<string,string>")
