@@ -7,6 +7,7 @@ survives lost executors, and every executor can read it.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -63,6 +64,11 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of frames that are no longer held, which it does as the driver collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str = "") -> None:
         try:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

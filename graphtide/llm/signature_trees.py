@@ -5,10 +5,12 @@ bitwise or of the bitmaps below them and the range of sizes. Two trees (or one a
 together; a pair of nodes is cut when its sizes are too far apart, or when the bits that both have in common
 allow too small an overlap. What is left is compared exactly.
 
-Trees are built over cells of documents, so that no task sees the whole table. Cells come from an exact
+Trees are built over stars of documents, so that no task sees the whole table. Stars come from an exact
 pigeonhole routing: the hash space is split into more parts than two linked sets can differ in elements, so
-linked sets agree on at least one part and meet under its hash. A cell is what such meetings connect; cells
-of more than a block are cut into blocks, and pairs of blocks are walked too.
+linked sets agree on at least one part and meet under its hash. The smallest document under a hash is its
+hub; a star is a hub and all that meet it. Documents that share no hash with a common hub are never brought
+together. A star of more than a block is cut into blocks, each with the hub; documents that are then not
+connected with most of their star are walked against its other blocks.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from .components import components
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _RATIO = 1.5  # of a size class's bounds
+SPLITS = 8  # of a set whose parts are too often empty
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,8 +62,9 @@ class Routing:
 
     Two sets of at most hi elements that link differ in at most 2 * hi * (100 - t) / (100 + t) elements.
     With that many parts and one more, one part at least has no difference; a few more parts make up for
-    parts that are empty in both sets, which carry no key. A set with more empty parts than those gives
-    keys for its empty parts too, so no link is lost.
+    parts that are empty in both sets, which carry no key. A set with more empty parts than those is split
+    again by another hash, up to SPLITS times (of two linked sets that do not meet both go on), and after
+    the last gives keys for its empty parts too, so no link is lost.
     """
 
     def __init__(self, percent: int):
@@ -81,20 +85,25 @@ class Routing:
         if n < self.smallest:
             return np.empty(0, np.uint64)
         own = int(np.searchsorted(self.his, n))
-        mixed = mix(s ^ _C1)
-        found = []
+        found, splits = [], [s]
         for c in (own, own + 1) if n * 100 // self.percent > self.his[own] else (own,):
-            p = ((s >> np.uint64(32)) * np.uint64(self.parts[c])) >> np.uint64(32)  # rises with s
-            starts = np.concatenate(([0], np.flatnonzero(p[1:] != p[:-1]) + 1))
-            where, sums = p[starts], np.add.reduceat(mixed, starts)
-            if self.parts[c] - len(starts) > self.spare[c]:
-                empty = np.setdiff1d(np.arange(self.parts[c], dtype=np.uint64), where)
-                where, sums = np.concatenate((where, empty)), np.concatenate((sums, np.zeros(len(empty), np.uint64)))
-            found.append(mix(sums + mix(where * _C1 + np.uint64(c + 1))))
+            for q in range(SPLITS):
+                if q == len(splits):
+                    splits.append(np.sort(mix(s ^ mix(np.full(1, q, np.uint64)))))
+                p = ((splits[q] >> np.uint64(32)) * np.uint64(self.parts[c])) >> np.uint64(32)  # rises with the elements
+                starts = np.concatenate(([0], np.flatnonzero(p[1:] != p[:-1]) + 1))
+                where, sums = p[starts], np.add.reduceat(mix(splits[q] ^ _C1), starts)
+                sparse = self.parts[c] - len(starts) > self.spare[c]
+                if sparse and q == SPLITS - 1:
+                    empty = np.setdiff1d(np.arange(self.parts[c], dtype=np.uint64), where)
+                    where, sums = np.concatenate((where, empty)), np.concatenate((sums, np.zeros(len(empty), np.uint64)))
+                found.append(mix(sums + mix(where * _C1 + np.uint64((q << 16) + c + 1))))
+                if not sparse:
+                    break
         return np.concatenate(found)
 
 
-_LIGHT = "rid long, doc_id long, n long, s0 long, s1 long"
+_LIGHT = "rid long, doc_id long, th long, n long, s0 long, s1 long"
 
 
 def _set_hash(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
@@ -110,10 +119,10 @@ def _light(k: int):
         for batch in batches:
             m = batch.num_rows
             n, s0, s1 = np.zeros(m, np.int64), np.zeros(m, np.uint64), np.zeros(m, np.uint64)
-            for i, text in enumerate(batch.column(1)):
+            for i, text in enumerate(batch.column(2)):
                 s = shingle_set(text.as_py() or "", k)
                 n[i], (s0[i], s1[i]) = len(s), _set_hash(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + m)), batch.column(0), pa.array(n), pa.array(s0.view(np.int64)), pa.array(s1.view(np.int64))], ["rid", "doc_id", "n", "s0", "s1"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + m)), batch.column(0), batch.column(1), pa.array(n), pa.array(s0.view(np.int64)), pa.array(s1.view(np.int64))], ["rid", "doc_id", "th", "n", "s0", "s1"])
             rid += m
 
     return run
@@ -122,8 +131,7 @@ def _light(k: int):
 def _keys(k: int, percent: int, chunk: int = 512):
     """(text) -> (key, owner) for each key of each distinct set of a chunk; owners are sets' hashes.
 
-    A key that several sets of a chunk have goes on once; each of the others goes on once with it, under a key
-    of the two. Sets that share an owner's hash by chance only meet more.
+    Sets that share an owner's hash by chance only meet more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,11 +146,6 @@ def _keys(k: int, percent: int, chunk: int = 512):
                 if not found:
                     continue
                 keys, owners = np.concatenate(list(found.values())), np.repeat(np.array([h for _, h, _ in found], np.uint64), [len(x) for x in found.values()])
-                once, first, back = np.unique(keys, return_index=True, return_inverse=True)
-                hubs = owners[first][back]
-                near, hub = np.unique(np.stack((owners, hubs))[:, owners != hubs], axis=1)
-                pair = mix(mix(near) + hub)
-                keys, owners = np.concatenate((once, pair, pair)), np.concatenate((owners[first], near, hub))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owners.view(np.int64))], ["key", "owner"])
 
     return run
@@ -267,140 +270,197 @@ def dual_walk(x: SignatureTree, y: SignatureTree, label_x: np.ndarray, label_y:
 
 
 def _bits(sets: list[np.ndarray]) -> int:
-    return 1 << max(9, math.ceil(math.log2(32 * max(map(len, sets), default=1))))
+    return 1 << max(9, math.ceil(math.log2(16 * max(map(len, sets), default=1))))
 
 
-def _walk_block(percent: int):
-    """Rows of one block -> (rep, comp): each document's component within the block."""
+def _groups(batches: Iterator[pa.RecordBatch], width: int = 3) -> Iterator[list[tuple]]:
+    """Groups of consecutive rows that agree in their first columns."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][:width] != row[:width]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
-    def run(table: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("shingles")]
-        reps = table.column("rep").to_numpy()
-        order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), sets[i][0], reps[i]))
-        sets, reps = [sets[i] for i in order], reps[order]
-        tree, label = SignatureTree(sets, _bits(sets)), reps.copy()
-        dual_walk(tree, tree, label, label, percent)
-        return pa.table({"rep": pa.array(reps), "comp": pa.array(label)})
 
-    return run
+_JOB = "cell long, i int, j int, side int, label long"
+_NAMES = [x.split()[0] for x in _JOB.split(", ")]
 
 
-def _walk_pair(percent: int):
-    """Rows of two blocks -> (a, b): components that the pair of blocks connects."""
+def _walk(percent: int):
+    """Rows (cell, i, j, side, label, shingles) sorted by cell, i, j -> (a, b): labels that links connect.
+
+    The documents of one side are a tree, which is walked with itself; those of two sides are two trees,
+    which are walked with each other.
+    """
 
-    def run(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        sets = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("shingles")]
-        comp, reps, bits = table.column("comp").to_numpy(), table.column("rep").to_numpy(), _bits(sets)
-        trees, labels = [], []
-        for which in (0, 1):
-            order = sorted(np.flatnonzero(side == which), key=lambda i: (len(sets[i]), sets[i][0], reps[i]))
-            trees.append(SignatureTree([sets[i] for i in order], bits))
-            labels.append(comp[order].copy())
-        found = dual_walk(trees[0], trees[1], labels[0], labels[1], percent)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            sides = []
+            sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+            bits = _bits(sets)
+            for which in (0, 1):
+                order = sorted((x for x in range(len(rows)) if rows[x][3] == which), key=lambda x: (len(sets[x]), sets[x][0], rows[x][4]))
+                if order:
+                    sides.append((SignatureTree([sets[x] for x in order], bits), np.array([rows[x][4] for x in order])))
+            (x, lx), (y, ly) = sides[0], sides[-1]
+            if found := dual_walk(x, y, lx, ly, percent):
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     return run
 
 
-def _sets_again(k: int):
-    """(text) -> (n, s0, s1, shingles), each set once per chunk."""
+def _again(k: int, most: int = 1 << 23):
+    """(jobs, text) -> a row (cell, i, j, side, label, shingles) for each job; at most so many bytes at once."""
+
+    def told(out):
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[x] for r in out], t) for x, t in enumerate(kinds)], [*_NAMES, "shingles"])
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                seen = {}
-                for text in batch.slice(start, 512).column(0):
-                    s = shingle_set(text.as_py() or "", k)
-                    seen[len(s), *map(int, _set_hash(s))] = s
-                rows = list(seen.items())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0][0] for r in rows], pa.int64()), *[pa.array(np.array([r[0][j] for r in rows], np.uint64).view(np.int64)) for j in (1, 2)], pa.array([r[1].tobytes() for r in rows], pa.binary())],
-                    ["n", "s0", "s1", "shingles"],
-                )
+            for jobs, text in zip(batch.column(0), batch.column(1), strict=True):
+                data = shingle_set(text.as_py() or "", k).tobytes()
+                for job in jobs.as_py():
+                    out.append((*(job[c] for c in _NAMES), data))
+                    held += len(data)
+                    if held > most:
+                        yield told(out)
+                        out, held = [], 0
+        if out:
+            yield told(out)
 
     return run
 
 
+def _links(source: DataFrame, named: DataFrame, jobs: DataFrame, k: int, percent: int, bitmap_bits: int) -> DataFrame:
+    """(a, b): labels that the walks of all jobs connect.
+
+    jobs: (rep, cell, i, j, side, label). Texts are read again, and only those of jobs have their sets made
+    again; a bitmap of fixed size keeps most of the other texts from being shuffled.
+    """
+    wanted = jobs.groupBy("rep").agg(F.collect_list(F.struct(*_NAMES)).alias("jobs")).join(named, "rep").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "jobs")
+    word, flag = F.pmod("h", F.lit(bitmap_bits // 64)), F.expr("shiftleft(1L, cast(shiftright(h, 58) & 63 as int))")
+    flags = jobs.select("rep").distinct().join(named, "rep").select(F.xxhash64("doc_id", "th").alias("h")).select(word.alias("w"), flag.alias("f")).groupBy("w").agg(F.bit_or("f").alias("f"))
+    texts = source.withColumn("h", F.xxhash64("doc_id", "th")).withColumn("w", word).join(F.broadcast(flags), "w").where(F.col("f").bitwiseAND(flag) != 0).groupBy("doc_id", "th").agg(F.first("text").alias("text"))
+    ready = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("jobs", "text")
+    sets = ready.mapInArrow(_again(k), f"{_JOB}, shingles binary").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    return sets.mapInArrow(_walk(percent), "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block_shingles: int = 2_000_000, bitmap_bits: int = 1 << 26) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of the documents; rows of one doc_id count as copies.
 
     Documents link when 100 * |A & B| >= percent * |A | B| over their sets of k-word shingles;
     component_id is the smallest doc_id reachable by links. Null and empty texts have no shingle, link with
     nothing and are their own component. Equal sets are one node, whatever their number. Rows with a null
-    doc_id keep a null component_id unless a linked row has an id. Other columns are not read.
+    doc_id keep a null component_id unless a linked row has an id. Very long texts are whole sets. An empty
+    table gives an empty result. Other columns are not read, whatever their names.
 
-    block_shingles bounds what one task holds of a cell; bitmap_bits bounds the broadcast filter of the
+    block_shingles bounds what one task holds of a star; bitmap_bits bounds the broadcast filter of the
     second reading (a full filter only lets more texts pass). Neither changes the result.
     """
-    scratch = Scratch(docs.sparkSession, "jaccard")
-    small_batches(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    _, named = _components(docs, k, percent, block_shingles, bitmap_bits)
+    least = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    return named.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with one row of each component: that with the smallest doc_id (nulls last, then by row).
+
+    Rows without a shingle all stay. Rows are told apart by doc_id and text, not by doc_id alone: a text that
+    is no copy stays even if its doc_id is used by one that is. Of rows equal in both, one stays.
+    """
+    scratch, named = _components(docs, k, percent)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
+    kept = named.where("n > 0").groupBy("comp").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("doc_id"), F.col("o.rid").alias("rid"))
+    kept = scratch.write(kept.join(named.select("rid", "th"), "rid").select("doc_id", "th"), "kept")
+    key, th = unused(docs, 2)
+    marked = docs.withColumn(th, _text_hash(F.col("text"))).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col(th)))
+    wordy = has_word(F.col("text"))
+    kept = kept.select(F.xxhash64("doc_id", "th").alias(key), F.col("th").alias(th))
+    once = marked.where(wordy).join(kept, [key, th], "left_semi").dropDuplicates([key, th])
+    return marked.where(~wordy).select(*docs.columns).union(once.select(*docs.columns))
+
+
+def unused(df: DataFrame, n: int) -> list[str]:
+    """So many names that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    return [x for x in (f"_{i}" for i in range(len(taken) + n)) if x not in taken][:n]
+
+
+def _text_hash(text):
+    return F.xxhash64(text.cast("string"))
+
+
+def has_word(text):
+    """Whether a text has a word, in DataFrame functions."""
+    return F.coalesce(F.length(F.trim(text.cast("string"), F.lit(" \t\n\x0b\x0c\r"))) > 0, F.lit(False))
+
+
+def _components(docs: DataFrame, k: int, percent: int, block_shingles: int = 2_000_000, bitmap_bits: int = 1 << 26) -> tuple[Scratch, DataFrame]:
+    """(rid, doc_id, th, n, comp) of each row; comp is equal for rows whose sets links connect."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "jaccard")
+    small_batches(spark)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(F.col("text")).alias("th"), F.col("text").cast("string").alias("text"))
     light = scratch.write(source.mapInArrow(_light(k), _LIGHT), "light")
-    node = scratch.write(light.groupBy("n", "s0", "s1").agg(F.min("rid").alias("rep")).where("n > 0"), "node")
+    node = light.where("n > 0").groupBy("n", "s0", "s1").agg(F.min(F.struct("rid", "doc_id", "th")).alias("r"))
+    node = scratch.write(node.select(F.col("r.rid").alias("rep"), "r.doc_id", "r.th", "n", "s0", "s1"), "node")
 
     # Keys are made in a reading of their own and go straight to the shuffle: stored, they would be the largest table.
     keys = source.select("text").mapInArrow(_keys(k, percent), "key long, owner long")
-    raw = scratch.write(keys.repartition("key").sortWithinPartitions("key", "owner").mapInArrow(_meet, "a long, b long").distinct(), "met")
-    edges = raw.join(node.select(F.col("s0").alias("a"), F.col("rep").alias("ra")), "a").join(node.select(F.col("s0").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b")
-    cells = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("cell"))
-    sized = cells.join(node, "rep").withColumn("cell_key", F.col("cell").cast("string"))
-    placed = scratch.write(_blocks(sized, block_shingles).select("rep", "cell", "n", "s0", "s1", "block"), "placed")
-
-    # Second reading: only texts that a bitmap of fixed size lets pass have their sets made again.
-    word, flag = F.pmod("h", F.lit(bitmap_bits // 64)), F.expr("shiftleft(1L, cast(shiftright(h, 58) & 63 as int))")
-    wanted = placed.select("rep").join(light.select("rid", "doc_id"), F.col("rep") == F.col("rid")).select(F.xxhash64("doc_id").alias("h"))
-    flags = wanted.select(word.alias("w"), flag.alias("f")).groupBy("w").agg(F.bit_or("f").alias("f"))
-    again = source.withColumn("h", F.xxhash64("doc_id")).withColumn("w", word).join(F.broadcast(flags), "w").where(F.col("f").bitwiseAND(flag) != 0).select("text")
-    sets = again.mapInArrow(_sets_again(k), "n long, s0 long, s1 long, shingles binary")
-    members = scratch.write(placed.join(sets, ["n", "s0", "s1"]).dropDuplicates(["rep"]).select("rep", "cell", "block", "shingles"), "members")
-
-    inner = scratch.write(members.groupBy("cell", "block").applyInArrow(_walk_block(percent), "rep long, comp long").join(placed.select("rep", "cell", "block", "n"), "rep"), "inner")
-    label = inner.select("rep", "comp")
-    many = inner.groupBy("cell").agg(F.max("block").alias("last")).where("last > 0")
+    met = scratch.write(keys.repartition("key").sortWithinPartitions("key", "owner").mapInArrow(_meet, "a long, b long").distinct(), "met")
+    del keys
+    scratch.release()
+    of = node.select("rep", "n", "s0")
+    star = met.join(of.select(F.col("s0").alias("a"), "rep", "n"), "a").join(of.select(F.col("s0").alias("b"), F.col("rep").alias("cell"), F.col("n").alias("hub_n")), "b").where("rep <> cell")
+    # A hub with one document of another size has nothing to link.
+    fits = F.least("n", "hub_n") * 100 >= percent * F.greatest("n", "hub_n")
+    some = star.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.max(fits).alias("fits")).where("m > 1 or fits").select("cell")
+    star = star.join(some, "cell").select("cell", "rep", "n", F.col("cell").cast("string").alias("cell_key"))
+    star = scratch.write(_blocks(star, block_shingles).select("cell", "rep", "n", F.col("block").cast("int").alias("block")), "star")
+    hubs = star.select(F.col("cell").alias("rep"), "cell", "block").distinct()
+    place = star.select("rep", "cell", "block").union(hubs)
+    jobs = scratch.write(place.select("rep", "cell", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), F.col("rep").alias("label")), "jobs")
+    named = node.select("rep", "doc_id", "th")
+    found = scratch.write(_links(source, named, jobs, k, percent, bitmap_bits), "links")
+    scratch.release()
+    many = scratch.write(star.groupBy("cell").agg(F.max("block").alias("last")).where("last > 0"), "many")
     if many.limit(1).count():
-        label = _across(scratch, inner.join(many, "cell", "left_semi"), members, label, percent, block_shingles)
-    named = light.select("doc_id", "n", "s0", "s1", "rid").join(node, ["n", "s0", "s1"], "left").join(label, "rep", "left").select("doc_id", "n", F.coalesce("comp", "rep", "rid").alias("comp"), F.col("n").alias("n_shingles"))
-    least = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+        more = _across(scratch, star.join(many, "cell", "left_semi"), found, block_shingles, percent)
+        if more.limit(1).count():
+            found = found.union(scratch.write(_links(source, named, more, k, percent, bitmap_bits), "more"))
+    label = components(found)
+    out = light.join(node.select("rep", "n", "s0", "s1"), ["n", "s0", "s1"], "left").join(label, F.col("rep") == F.col("node"), "left")
+    return scratch, out.select("rid", "doc_id", "th", "n", F.coalesce("component", "rep", "rid").alias("comp"))
 
 
 def _blocks(rows: DataFrame, block_shingles: int) -> DataFrame:
     """Adds block: rows of a cell in order of size, cut at equal numbers of shingles."""
     placed, _, _ = ordered_prefix(rows, [F.col("n"), F.col("rep")], "n", group="cell_key")
-    return placed.withColumn("block", F.expr(f"_before div {block_shingles}L"))
+    return placed.withColumn("block", F.expr(f"cast(_before div {block_shingles}L as int)"))
 
 
-def _across(scratch: Scratch, inner: DataFrame, members: DataFrame, label: DataFrame, percent: int, block_shingles: int) -> DataFrame:
-    """Joins the components of cells with several blocks.
+def _across(scratch: Scratch, star: DataFrame, found: DataFrame, block_shingles: int, percent: int) -> DataFrame:
+    """The jobs between blocks of stars that have several.
 
-    First the components' own first documents are walked, which connects most; then each pair of blocks
-    of a cell that is not yet one component is walked in full. Pairs of blocks that lie wholly in their
-    cell's most frequent component are left out.
+    Documents outside of their star's most frequent component are odd. They are cut into blocks of their own,
+    each of which is walked with every block of the star whose sizes allow a link.
     """
-    firsts = inner.groupBy("cell", "comp").agg(F.min_by(F.struct("rep", "n"), "rep").alias("f")).select("cell", "comp", "f.rep", "f.n", F.col("cell").cast("string").alias("cell_key"))
-    firsts = scratch.write(_blocks(firsts, block_shingles).select("rep", "comp", F.col("block").alias("slice")), "firsts")
-    walked = members.join(firsts.select("rep", "slice"), "rep").groupBy("cell", "slice").applyInArrow(_walk_block(percent), "rep long, comp long").where("rep <> comp")
-    comp_of = firsts.select("rep", F.col("comp").alias("own"))
-    merges = walked.join(comp_of, "rep").select(F.col("own").alias("a"), F.col("comp").alias("rep")).join(comp_of, "rep").select("a", F.col("own").alias("b"))
-    merges = scratch.write(merges, "merges")
-    now = _relabel(inner, merges)
-    blocks = scratch.write(now.groupBy("cell", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")), "blocks")
-    main = blocks.where("lo = hi").groupBy("cell", "lo").count().groupBy("cell").agg(F.max_by("lo", F.struct("count", "lo")).alias("main"))
-    odd = blocks.join(main, "cell", "left").where("main is null or lo <> main or hi <> main").select("cell", F.col("block").alias("i"), "least", "most")
-    # Blocks are in order of size; those whose sizes are too far apart for any link aren't brought together.
-    jobs = odd.join(blocks.select("cell", F.col("block").alias("j"), F.col("least").alias("least_j"), F.col("most").alias("most_j")), "cell")
-    jobs = jobs.where(f"i <> j and 100 * most >= {percent} * least_j and 100 * most_j >= {percent} * least").select("cell", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
-    jobs = scratch.write(jobs, "jobs")
-    sides = jobs.select("cell", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).union(jobs.select("cell", "i", "j", "j", F.lit(1)))
-    rows = sides.join(members.join(now.select("rep", "comp"), "rep"), ["cell", "block"])
-    found = rows.groupBy("cell", "i", "j").applyInArrow(_walk_pair(percent), "a long, b long")
-    return _relabel(label, scratch.write(merges.union(found), "all"))
-
-
-def _relabel(rows: DataFrame, merges: DataFrame) -> DataFrame:
-    """Replaces comp by the smallest component that merges connect it with."""
-    if not merges.limit(1).count():
-        return rows
-    names = components(merges)
-    return rows.join(names, rows["comp"] == names["node"], "left").withColumn("comp", F.coalesce("component", "comp")).drop("node", "component")
+    names = components(found)
+    now = star.join(names, F.col("rep") == F.col("node"), "left").select("cell", "block", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    now = scratch.write(now, "now")
+    main = now.groupBy("cell", "comp").count().groupBy("cell").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+    odd = now.join(main, "cell").where("comp <> main").select("cell", "rep", "n", "comp", F.col("cell").cast("string").alias("cell_key"))
+    odd = scratch.write(_blocks(odd, block_shingles).select("cell", "rep", "n", "comp", F.col("block").alias("i")), "odd")
+    sizes = lambda rows, by: rows.groupBy("cell", by).agg(F.min("n").alias(f"{by}_lo"), F.max("n").alias(f"{by}_hi"))
+    pairs = sizes(odd, "i").join(sizes(now.withColumnRenamed("block", "j"), "j"), "cell").where(f"100 * i_hi >= {percent} * j_lo and 100 * j_hi >= {percent} * i_lo").select("cell", "i", "j")
+    pairs = scratch.write(pairs, "pairs")
+    left = odd.join(pairs, ["cell", "i"]).select("rep", "cell", "i", "j", F.lit(0).alias("side"), F.col("comp").alias("label"))
+    right = now.withColumnRenamed("block", "j").join(pairs, ["cell", "j"]).select("rep", "cell", "i", "j", F.lit(1).alias("side"), F.col("comp").alias("label"))
+    return scratch.write(left.union(right), "across")
