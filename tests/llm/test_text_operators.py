@@ -212,7 +212,7 @@ def test_edit_similarity():
 
 
 def test_lines_against_brute_force(docs, spark):
-    """Groups by exact search over all pairs that meet: links need a shared block and few different bits."""
+    """Groups by exact search over all pairs of lines, with an edit distance of the tests' own."""
     rng = random.Random(5)
     base = ["w%d" % rng.randrange(5000) * 2 for _ in range(60)]
     extra = []
@@ -229,13 +229,8 @@ def test_lines_against_brute_force(docs, spark):
             if line.split():
                 lines.setdefault(b" ".join(line.split()), []).append((r.doc_id, k, zlib.crc32((r.text or "").encode())))
     norms = [n.split() for n in lines]
-    long = [[w for w in x if len(w) > 3] or x for x in norms]
-    bits = line_dedup.simhash(long)
-    keys = {}
-    for i in range(len(norms)):
-        if len(norms[i]) >= 4:
-            for key in line_dedup.block_keys(bits[i : i + 1], np.array([len(norms[i])]))[0].tolist():
-                keys.setdefault(key, []).append(i)
+    number = {}
+    masks = [sum(1 << number.setdefault(w, len(number)) for w in set(x)) for x in norms]
     parent = list(range(len(norms)))
 
     def find(x):
@@ -243,11 +238,12 @@ def test_lines_against_brute_force(docs, spark):
             x = parent[x]
         return x
 
-    for members in keys.values():
-        for x, a in enumerate(members):
-            for b in members[:x]:
-                if find(a) != find(b) and np.bitwise_count(bits[a] ^ bits[b]).sum() <= line_dedup.MOST_BITS and line_dedup.similar(norms[a], norms[b], 80):
-                    parent[find(a)] = find(b)
+    for a, x in enumerate(norms):
+        for b, y in enumerate(norms[:a]):
+            most = max(len(x), len(y)) * 20 // 100
+            # An edit takes one distinct word away at most.
+            if abs(len(x) - len(y)) <= most and (masks[a] & masks[b]).bit_count() >= len(set(x)) - most and distance(x, y) <= most:
+                parent[find(a)] = find(b)
     for i, places in enumerate(lines.values()):
         groups.setdefault(find(i), []).extend(places)
     gone = set()
@@ -285,6 +281,29 @@ def test_most_lines_at_the_threshold_are_found(spark):
     assert len(gone) >= 0.95 * len({a for a, _ in true})
 
 
+@pytest.mark.parametrize("words", [range(5, 10), range(10, 17), range(17, 40), range(60, 200)])
+def test_similar_lines_share_a_key(words):
+    """By length, with as many words replaced, dropped and put in as the threshold allows; none is lost up to 16 words."""
+    rng, found, total = random.Random(words.start), 0, 0
+    for _ in range(400):
+        a = [b"%d" % rng.randrange(10**6) if rng.random() < 0.7 else rng.choice([b"a", b"of", b"the"]) for _ in range(rng.choice(words))]
+        b = list(a)
+        for _ in range(len(a) // 5):
+            i = rng.randrange(len(b))
+            b[i : i + 1] = rng.choice([[b"new%d" % rng.randrange(10**6)], [], [b[i], b"more"]])
+        if a != b and distance(a, b) <= max(len(a), len(b)) * 20 // 100:
+            total += 1
+            keys, line = line_dedup.line_keys([a, b], 80)
+            found += bool(np.intersect1d(keys[line == 0], keys[line == 1]).size)
+    assert total > 100 and found >= (1.0 if words.stop <= 17 else 0.97) * total
+
+
+def test_a_text_of_very_many_lines(spark):
+    text = "\n".join(f"line {i // 2:x} of a very long text {i // 2 * 7919:x} here" for i in range(20_000))
+    got = line_dedup.dedup_lines(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, _gone string")).first()
+    assert (got.n_lines, got.n_removed) == (20_000, 20_000 - len(got.text.split("\n"))) and got.n_removed >= 10_000
+
+
 def test_lines_of_odd_rows(spark, docs):
     rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs.where("doc_id >= 20000").withColumn("n_lines", F.lit("x"))).collect()}
     assert rows[20000].text is None and rows[20001].text == "" and rows[20002].text == " \n\t"
