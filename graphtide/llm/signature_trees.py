@@ -16,6 +16,7 @@ connected with most of their star are walked against its other blocks.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,7 +104,7 @@ class Routing:
         return np.concatenate(found)
 
 
-_LIGHT = "rid long, doc_id long, th long, n long, s0 long, s1 long"
+_LIGHT = "rid long, doc_id long, th long, n long, s0 long, s1 long, map binary"
 
 
 def _set_hash(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
@@ -112,17 +113,18 @@ def _set_hash(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
 
 
 def _light(k: int):
-    """Per document its set size and set hash."""
+    """Per document its set size, set hash and bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
             m = batch.num_rows
-            n, s0, s1 = np.zeros(m, np.int64), np.zeros(m, np.uint64), np.zeros(m, np.uint64)
+            n, s0, s1, maps = np.zeros(m, np.int64), np.zeros(m, np.uint64), np.zeros(m, np.uint64), []
             for i, text in enumerate(batch.column(2)):
                 s = shingle_set(text.as_py() or "", k)
                 n[i], (s0[i], s1[i]) = len(s), _set_hash(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + m)), batch.column(0), batch.column(1), pa.array(n), pa.array(s0.view(np.int64)), pa.array(s1.view(np.int64))], ["rid", "doc_id", "th", "n", "s0", "s1"])
+                maps.append(bitmap(s).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + m)), batch.column(0), batch.column(1), pa.array(n), pa.array(s0.view(np.int64)), pa.array(s1.view(np.int64)), pa.array(maps, pa.binary())], ["rid", "doc_id", "th", "n", "s0", "s1", "map"])
             rid += m
 
     return run
@@ -167,20 +169,34 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(links[0])), pa.array(np.ascontiguousarray(links[1]))], ["a", "b"])
 
 
+def band(n: int) -> int:
+    """Sets of from 2^b to 2^(b+1) - 1 elements have bitmaps of one length."""
+    return int(n).bit_length() - 1
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """The bitmap of a set, of 8 to 16 bits for each element."""
+    if not len(s):
+        return np.empty(0, np.uint64)
+    bits = np.zeros(max(64, 16 << band(len(s))), bool)
+    bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
 class SignatureTree:
-    """Documents of one block in leaf order, and the levels of nodes above them, the leaves' level first."""
-
-    def __init__(self, sets: list[np.ndarray], bits: int, leaf: int = 16, fan: int = 8):
-        self.sets, self.sizes = sets, np.array([len(s) for s in sets])
-        words = bits // 64
-        self.maps = np.zeros((len(sets), words), np.uint64)
-        for i, s in enumerate(sets):
-            at = (s & np.uint64(bits - 1)).astype(np.int64)
-            np.bitwise_or.at(self.maps[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    """Documents of one block in leaf order, and the levels of nodes above them, the leaves' level first.
+
+    A bitmap repeated to the length of longer ones still has every bit that a common element sets there, so
+    documents of different bands can be held together: the bound only becomes wider.
+    """
+
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray] | None = None, own_bits: np.ndarray | None = None, leaf: int = 16, fan: int = 8):
+        self.sets, self.sizes, self.maps = sets, sizes, maps
         #: Elements that share a bit with another of the set; the common bits can hide as many.
-        self.hidden = self.sizes - np.bitwise_count(self.maps).sum(axis=1, dtype=np.int64)
+        self.own_bits = np.bitwise_count(maps).sum(axis=1, dtype=np.int64) if own_bits is None else own_bits
+        self.hidden = sizes - self.own_bits
         self.levels = []  # of (first document, or map, smallest size, largest size, hidden)
-        starts, maps, low, high, hidden, step = np.arange(0, len(sets), leaf), self.maps, self.sizes, self.sizes, self.hidden, np.arange(0, len(sets), leaf)
+        starts, low, high, hidden, step = np.arange(0, len(sizes), leaf), self.sizes, self.sizes, self.hidden, np.arange(0, len(sizes), leaf)
         while True:
             maps, low, high, hidden = np.bitwise_or.reduceat(maps, step), np.minimum.reduceat(low, step), np.maximum.reduceat(high, step), np.maximum.reduceat(hidden, step)
             self.levels.append((starts, maps, low, high, hidden))
@@ -190,9 +206,12 @@ class SignatureTree:
             starts = starts[step]
         self.fan = fan
 
+    def widened(self, words: int) -> SignatureTree:
+        return self if words == self.maps.shape[1] else SignatureTree(np.tile(self.maps, (1, words // self.maps.shape[1])), self.sizes, self.sets, self.own_bits)
+
     def span(self, level: int, node: int) -> tuple[int, int]:
         starts = self.levels[level][0]
-        return int(starts[node]), int(starts[node + 1]) if node + 1 < len(starts) else len(self.sets)
+        return int(starts[node]), int(starts[node + 1]) if node + 1 < len(starts) else len(self.sizes)
 
     def children(self, level: int, node: int) -> range:
         return range(node * self.fan, min((node + 1) * self.fan, len(self.levels[level - 1][0])))
@@ -208,11 +227,13 @@ def links(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(s) + len(t) - common)
 
 
-def dual_walk(x: SignatureTree, y: SignatureTree, label_x: np.ndarray, label_y: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def dual_walk(x: SignatureTree, y: SignatureTree, label_x: np.ndarray, label_y: np.ndarray, percent: int, flags: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Walks two trees of equally long bitmaps together, or one with itself (x is y, label_x is label_y).
 
     Labels tell which documents are known to be connected; the walk merges labels in place and returns the
-    merges. Node pairs whose documents are all connected already are left.
+    merges. Node pairs whose documents are all connected already are left. With flags, sets aren't needed:
+    documents that may link with one of another label are flagged instead, and node pairs are left once all
+    of their documents are.
     """
     merged: list[tuple[int, int]] = []
 
@@ -233,6 +254,8 @@ def dual_walk(x: SignatureTree, y: SignatureTree, label_x: np.ndarray, label_y:
         merged.append((int(hi), int(lo)))
 
     def connected(a0, a1, b0, b1):
+        if flags is not None and flags[0][a0:a1].all() and flags[1][b0:b1].all():
+            return True
         first = label_x[a0]
         return (label_x[a0:a1] == first).all() and (label_y[b0:b1] == first).all()
 
@@ -241,6 +264,10 @@ def dual_walk(x: SignatureTree, y: SignatureTree, label_x: np.ndarray, label_y:
         common += np.minimum(x.hidden[a0:a1, None], y.hidden[None, b0:b1])
         fits = common * (100 + percent) >= percent * (x.sizes[a0:a1, None] + y.sizes[None, b0:b1])
         fits &= label_x[a0:a1, None] != label_y[None, b0:b1]
+        if flags is not None:
+            flags[0][a0:a1] |= fits.any(axis=1)
+            flags[1][b0:b1] |= fits.any(axis=0)
+            return
         for i, j in zip(*np.nonzero(np.triu(fits, 1) if same else fits), strict=True):
             if label_x[a0 + i] != label_y[b0 + j] and links(x.sets[a0 + i], y.sets[b0 + j], percent):
                 join(a0 + i, b0 + j)
@@ -269,10 +296,6 @@ def dual_walk(x: SignatureTree, y: SignatureTree, label_x: np.ndarray, label_y:
     return merged
 
 
-def _bits(sets: list[np.ndarray]) -> int:
-    return 1 << max(9, math.ceil(math.log2(16 * max(map(len, sets), default=1))))
-
-
 def _groups(batches: Iterator[pa.RecordBatch], width: int = 3) -> Iterator[list[tuple]]:
     """Groups of consecutive rows that agree in their first columns."""
     held: list[tuple] = []
@@ -290,29 +313,69 @@ _JOB = "cell long, i int, j int, side int, label long"
 _NAMES = [x.split()[0] for x in _JOB.split(", ")]
 
 
+class _Side:
+    """A tree for each band of the documents of one side of a job."""
+
+    def __init__(self, rows: list[tuple], exact: bool):
+        self.trees: dict[int, tuple[SignatureTree, np.ndarray, np.ndarray, list]] = {}
+        bands: dict[int, list] = {}
+        for r in rows:
+            data = np.frombuffer(r[5], np.uint64)
+            bands.setdefault(band(len(data) if exact else r[6]), []).append((len(data) if exact else r[6], r[5][:8], r[4], data, r))
+        for b, members in bands.items():
+            members.sort(key=lambda m: m[:3])
+            maps = np.stack([bitmap(m[3]) if exact else m[3] for m in members])
+            tree = SignatureTree(maps, np.array([m[0] for m in members]), [m[3] for m in members] if exact else None)
+            self.trees[b] = tree, np.array([m[2] for m in members]), np.zeros(len(members), bool), [m[4] for m in members]
+
+
+def _walk_sides(x: _Side, y: _Side, percent: int, flag: bool) -> list[tuple[int, int]]:
+    """Walks every pair of bands whose sizes allow a link."""
+    found = []
+    for a, (tx, lx, fx, _) in x.trees.items():
+        for b, (ty, ly, fy, _) in y.trees.items():
+            if (x is y and b < a) or tx.sizes[-1] * 100 < percent * ty.sizes[0] or ty.sizes[-1] * 100 < percent * tx.sizes[0]:
+                continue
+            words = max(tx.maps.shape[1], ty.maps.shape[1])
+            wide = tx.widened(words)
+            found += dual_walk(wide, wide if tx is ty else ty.widened(words), lx, ly, percent, (fx, fy) if flag else None)
+    return found
+
+
+def _sides(rows: list[tuple], exact: bool) -> tuple[_Side, _Side]:
+    parts = [_Side(part, exact) for which in (0, 1) if (part := [r for r in rows if r[3] == which])]
+    return parts[0], parts[-1]
+
+
 def _walk(percent: int):
     """Rows (cell, i, j, side, label, shingles) sorted by cell, i, j -> (a, b): labels that links connect.
 
-    The documents of one side are a tree, which is walked with itself; those of two sides are two trees,
-    which are walked with each other.
+    The documents of one side are walked with each other; those of two sides with the other side's.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches):
-            sides = []
-            sets = [np.frombuffer(r[5], np.uint64) for r in rows]
-            bits = _bits(sets)
-            for which in (0, 1):
-                order = sorted((x for x in range(len(rows)) if rows[x][3] == which), key=lambda x: (len(sets[x]), sets[x][0], rows[x][4]))
-                if order:
-                    sides.append((SignatureTree([sets[x] for x in order], bits), np.array([rows[x][4] for x in order])))
-            (x, lx), (y, ly) = sides[0], sides[-1]
-            if found := dual_walk(x, y, lx, ly, percent):
+            if found := _walk_sides(*_sides(rows, True), percent, False):
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     return run
 
 
+def _may(percent: int):
+    """Rows (cell, i, j, side, label, map, n, rep) sorted by cell, i, j -> those that may link with another there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            x, y = _sides(rows, False)
+            _walk_sides(x, y, percent, True)
+            out = [r for side in ((x,) if x is y else (x, y)) for _, _, flags, own in side.trees.values() for r, f in zip(own, flags, strict=True) if f]
+            if out:
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([*[pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], pa.array([r[7] for r in out], pa.int64())], [*_NAMES, "rep"])
+
+    return run
+
+
 def _again(k: int, most: int = 1 << 23):
     """(jobs, text) -> a row (cell, i, j, side, label, shingles) for each job; at most so many bytes at once."""
 
@@ -337,12 +400,17 @@ def _again(k: int, most: int = 1 << 23):
     return run
 
 
-def _links(source: DataFrame, named: DataFrame, jobs: DataFrame, k: int, percent: int, bitmap_bits: int) -> DataFrame:
+def _links(scratch: Scratch, source: DataFrame, light: DataFrame, named: DataFrame, jobs: DataFrame, k: int, percent: int, bitmap_bits: int) -> DataFrame:
     """(a, b): labels that the walks of all jobs connect.
 
-    jobs: (rep, cell, i, j, side, label). Texts are read again, and only those of jobs have their sets made
-    again; a bitmap of fixed size keeps most of the other texts from being shuffled.
+    jobs: (rep, cell, i, j, side, label). Bitmaps are walked first, which leaves the documents that may link
+    with another of their job. The texts of these are read again and have their sets made again; a bitmap of
+    fixed size keeps most of the other texts from being shuffled.
     """
+    maps = jobs.join(light.select(F.col("rid").alias("rep"), "map", "n"), "rep").select(*_NAMES, "map", "n", "rep")
+    jobs = scratch.write(maps.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_may(percent), f"{_JOB}, rep long"), f"may-{uuid.uuid4().hex}")
+    del maps
+    scratch.release()
     wanted = jobs.groupBy("rep").agg(F.collect_list(F.struct(*_NAMES)).alias("jobs")).join(named, "rep").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "jobs")
     word, flag = F.pmod("h", F.lit(bitmap_bits // 64)), F.expr("shiftleft(1L, cast(shiftright(h, 58) & 63 as int))")
     flags = jobs.select("rep").distinct().join(named, "rep").select(F.xxhash64("doc_id", "th").alias("h")).select(word.alias("w"), flag.alias("f")).groupBy("w").agg(F.bit_or("f").alias("f"))
@@ -428,13 +496,13 @@ def _components(docs: DataFrame, k: int, percent: int, block_shingles: int = 2_0
     place = star.select("rep", "cell", "block").union(hubs)
     jobs = scratch.write(place.select("rep", "cell", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), F.col("rep").alias("label")), "jobs")
     named = node.select("rep", "doc_id", "th")
-    found = scratch.write(_links(source, named, jobs, k, percent, bitmap_bits), "links")
+    found = scratch.write(_links(scratch, source, light, named, jobs, k, percent, bitmap_bits), "links")
     scratch.release()
     many = scratch.write(star.groupBy("cell").agg(F.max("block").alias("last")).where("last > 0"), "many")
     if many.limit(1).count():
         more = _across(scratch, star.join(many, "cell", "left_semi"), found, block_shingles, percent)
         if more.limit(1).count():
-            found = found.union(scratch.write(_links(source, named, more, k, percent, bitmap_bits), "more"))
+            found = found.union(scratch.write(_links(scratch, source, light, named, more, k, percent, bitmap_bits), "more"))
     label = components(found)
     out = light.join(node.select("rep", "n", "s0", "s1"), ["n", "s0", "s1"], "left").join(label, F.col("rep") == F.col("node"), "left")
     return scratch, out.select("rid", "doc_id", "th", "n", F.coalesce("component", "rep", "rid").alias("comp"))
