@@ -137,6 +137,21 @@ def _after(s: Column, x: Column) -> Column:
     return string(F.when(at > 0, F.substring(s["lex"], at + F.length(x["lex"]), F.length(s["lex"]))).otherwise(F.lit("")))
 
 
+_ZONE = r"(Z|[+-]\d\d:\d\d)$"
+
+
+def _zone(t: Column) -> Column:
+    """The zone that a time is written with, or nothing."""
+    return F.regexp_extract(t["lex"], _ZONE, 1)
+
+
+def _zone_duration(t: Column) -> Column:
+    zone = _zone(t)
+    hours, minutes = F.substring(zone, 2, 2).try_cast("int"), F.substring(zone, 5, 2).try_cast("int")
+    parts = F.concat(F.when(F.startswith(zone, F.lit("-")), "-").otherwise(""), F.lit("PT"), F.when(hours > 0, F.concat(hours.cast("string"), F.lit("H"))).otherwise(""), F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("M"))).otherwise(""))
+    return F.when(zone == "", "").when((zone == "Z") | ((hours == 0) & (minutes == 0)), "PT0S").otherwise(parts)
+
+
 OPERATORS = {
     "=": _equal,
     "!=": lambda a, b: boolean(~F.coalesce(key(a) == key(b), F.lit(False))),
@@ -188,6 +203,9 @@ FUNCTIONS = {
     "HOURS": _date(F.hour),
     "MINUTES": _date(F.minute),
     "SECONDS": _date(F.second),
+    "TZ": lambda t: string(_zone(t)),
+    "TIMEZONE": lambda t: string(_zone_duration(t)),
+    "XSD:DATETIME": lambda t: number(F.unix_micros(t["lex"].try_cast("timestamp")) / 1e6),
     "COALESCE": lambda *ts: F.coalesce(*ts),
     "IF": lambda c, a, b: F.when(truth(c), a).otherwise(b),
     "MD5": lambda t: string(F.md5(t["lex"])),

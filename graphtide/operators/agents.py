@@ -142,6 +142,16 @@ def deliver(messages: DataFrame, agents: DataFrame) -> DataFrame:
     return messages.join(agents.select("type", "inst"), messages["target_type"] == agents["type"]).select("type", "inst", "topic", "sender", "payload")
 
 
+def aged(mail: DataFrame) -> DataFrame:
+    """Mail after a step: each message's time to live (ttl) is one less, and those at 0 are gone."""
+    return mail.withColumn("ttl", F.col("ttl") - 1).where("ttl > 0")
+
+
+def mailbox(kept: DataFrame, sent: DataFrame, agents: DataFrame, ttl: int = 1) -> DataFrame:
+    """The next step's mail: what is left of the last one's, and what was sent, which lives for ttl steps."""
+    return aged(kept).unionByName(deliver(sent, agents).withColumn("ttl", F.lit(ttl)))
+
+
 def metrics(agents: DataFrame, properties: list[str]) -> DataFrame:
     """(type, var, value): <Type>_<property>_avg, _sum, _min, _max, _var (the population's; 0 for one agent) and <Type>_count."""
     stats = [("avg", F.avg), ("sum", F.sum), ("min", F.min), ("max", F.max), ("var", F.var_pop)]

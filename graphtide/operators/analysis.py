@@ -141,13 +141,18 @@ def src(rows: DataFrame, params: list[str], y: str) -> dict[str, float]:
 
 
 def prcc(rows: DataFrame, params: list[str], y: str) -> dict[str, float]:
-    """Partial rank correlations: ranks by windows, then the inverse of their correlation matrix."""
+    """Partial rank correlations: ranks by windows, then what is left of their covariance with y without the other parameters."""
     ranked = average_ranks(rows, [*params, y])
     g = gram(ranked, [f"rank_{c}" for c in [*params, y]])
     n, mean = g[0, 0], g[0, 1:] / g[0, 0]
     cov = g[1:, 1:] / n - np.outer(mean, mean)
-    inverse = np.linalg.pinv(cov)
-    return {p: float(-inverse[i, -1] / np.sqrt(inverse[i, i] * inverse[-1, -1])) for i, p in enumerate(params)}
+    out = {}
+    for i, p in enumerate(params):
+        others, pair = [j for j in range(len(params)) if j != i], [i, len(params)]
+        left = cov[np.ix_(pair, pair)] - cov[np.ix_(pair, others)] @ np.linalg.pinv(cov[np.ix_(others, others)]) @ cov[np.ix_(others, pair)]
+        spread = left[0, 0] * left[1, 1]
+        out[p] = float(left[0, 1] / np.sqrt(spread)) if spread > 1e-12 * max(cov[i, i] * cov[-1, -1], 1e-300) else 0.0
+    return out
 
 
 def oat(names: list[str], ranges: dict[str, tuple[float, float]]) -> list[tuple]:
@@ -185,9 +190,11 @@ def pareto(rows: DataFrame, objectives: list[str], key: str) -> DataFrame:
 def interpolated(series: DataFrame, times: DataFrame, by: list[str], t: str = "t", value: str = "value") -> DataFrame:
     """The value at each time (by, t) of a series (by, t, value): linear between points, held at the ends."""
     both = series.select(*by, t, value, F.lit(0).alias("_ask")).unionByName(times.select(*by, t, F.lit(None).cast("double").alias(value), F.lit(1).alias("_ask")))
-    w = Window.partitionBy(*by).orderBy(t, "_ask")
+    # The next point is the last one before it in falling order: frames that only grow are linear.
+    before = Window.partitionBy(*by).orderBy(t, "_ask", value).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*by).orderBy(F.desc(t), "_ask", value).rowsBetween(Window.unboundedPreceding, 0)
     point = F.when(F.col("_ask") == 0, F.struct(F.col(t).alias("t"), F.col(value).alias("v")))
-    both = both.withColumn("_l", F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_r", F.first(point, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    both = both.withColumn("_l", F.last(point, True).over(before)).withColumn("_r", F.last(point, True).over(after))
     share = F.try_divide(F.col(t) - F.col("_l.t"), F.col("_r.t") - F.col("_l.t"))
     mixed = F.col("_l.v") + (F.col("_r.v") - F.col("_l.v")) * F.coalesce(share, F.lit(0.0))
     return both.where("_ask = 1").select(*by, t, F.coalesce(mixed, F.col("_l.v"), F.col("_r.v")).alias(value))

@@ -40,6 +40,16 @@ def causes_strip(edges: DataFrame, finals: DataFrame, name: str) -> DataFrame:
     return edges.where(F.col("dst") == name).select("src").join(finals.select(F.col("var").alias("src"), "value"), "src", "left")
 
 
+def causal_trace(edges: DataFrame, finals: DataFrame, name: str, most: int = 10) -> DataFrame:
+    """(part, name, path, cut, value): each cause and effect of a name with the path that it is on, and its direct causes with their values, as the parts causes, effects and strip."""
+    none = F.lit(None)
+    out = causes_strip(edges, finals, name).select(F.lit("strip").alias("part"), F.col("src").alias("name"), none.cast("array<string>").alias("path"), none.cast("boolean").alias("cut"), "value")
+    for part, tree in (("causes", causes_tree), ("effects", effects_tree)):
+        rows = tree(edges, name, most).where(F.size("path") > 1)
+        out = out.unionByName(rows.select(F.lit(part).alias("part"), F.explode(F.slice("path", 2, F.size("path") - 1)).alias("name"), "path", F.col("cut").cast("boolean").alias("cut"), none.cast("double").alias("value")))
+    return out
+
+
 def loops(edges: DataFrame, most: int = 20) -> DataFrame:
     """(nodes, negatives, kind): every simple cycle of edges (src, dst, sign) up to a length, each once.
 
@@ -119,3 +129,18 @@ ROLES = {"stock": "continuant", "flow": "process", "aux": "quality", "table": "i
 
 def role(kind: str) -> str | None:
     return ROLES.get(kind)
+
+
+def role_table(spark: SparkSession) -> DataFrame:
+    """(kind, role, category): what happens is an occurrent, all else a continuant."""
+    rows = [(k, r, "occurrent" if r.startswith("process") else "continuant") for k, r in ROLES.items()]
+    return spark.createDataFrame(rows, "kind string, role string, category string")
+
+
+def valid_role(kind: str) -> bool:
+    return kind in ROLES
+
+
+def roles_of(category: str) -> list[str]:
+    """The kinds of elements whose role is a continuant or an occurrent."""
+    return [k for k, r in ROLES.items() if r.startswith("process") == (category == "occurrent")]

@@ -55,10 +55,12 @@ def queue_loop(arrivals: DataFrame, servers: int = 1, capacity: int | None = Non
     waits longer leaves unserved). Optional columns: due_date."""
     if discipline not in ("FIFO", "SPT", "EDD"):
         raise ValueError(discipline)
+    entered, left = HOOKS.get("enqueue", []), HOOKS.get("dequeue", [])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["arr_t", "entity_id"])
         due = pdf["due_date"].fillna(float("inf")) if "due_date" in pdf else pd.Series(float("inf"), index=pdf.index)
+        name = pdf["queue"].iloc[0]
         waiting, busy, out = [], [], []  # heaps of (key, order, arrival, service, id) and of (departure, order)
 
         def serve(until: float) -> None:
@@ -78,6 +80,8 @@ def queue_loop(arrivals: DataFrame, servers: int = 1, capacity: int | None = Non
                     out.append((entity, arr, None, arr + patience, True))
                     continue
                 out.append((entity, arr, start, start + service, False))
+                for f in left:
+                    f(name, entity, start + service)
                 heapq.heappush(busy, (start + service, order))
 
         clock = [float("-inf")]
@@ -86,7 +90,11 @@ def queue_loop(arrivals: DataFrame, servers: int = 1, capacity: int | None = Non
             clock[0] = max(clock[0], arr)
             if capacity is not None and len(waiting) + len(busy) >= capacity:
                 out.append((entity, arr, None, None, True))
+                for f in entered:
+                    f(name, entity, arr, False)
                 continue
+            for f in entered:
+                f(name, entity, arr, True)
             key = {"FIFO": order, "SPT": service, "EDD": d}[discipline]
             heapq.heappush(waiting, (key, order, arr, service, entity))
             serve(arr)
@@ -148,9 +156,10 @@ def recurring(events: DataFrame) -> DataFrame:
 def resource_loop(requests: DataFrame, capacity: float) -> DataFrame:
     """Grants of requests (resource, request_id, t, quantity, priority, hold): who fits is granted at once; others wait
     by priority, then time, until what is held is given back."""
+    before, after, back = (HOOKS.get(e, []) for e in ("pre_request", "post_request", "release"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        free, waiting, held, out = capacity, [], [], []
+        name, free, waiting, held, out = pdf["resource"].iloc[0], capacity, [], [], []
 
         def give(now: float) -> None:
             nonlocal free
@@ -159,18 +168,26 @@ def resource_loop(requests: DataFrame, capacity: float) -> DataFrame:
                 free -= quantity
                 heapq.heappush(held, (now + hold, k, quantity))
                 out.append((k, asked, now, now + hold))
+                for f in after:
+                    f(name, k, now, quantity)
+
+        def release() -> None:
+            nonlocal free
+            at, k, quantity = heapq.heappop(held)
+            free += quantity
+            for f in back:
+                f(name, k, at)
+            give(at)
 
         for r in pdf.sort_values(["t", "request_id"]).itertuples():
             while held and held[0][0] <= r.t:
-                at, _, quantity = heapq.heappop(held)
-                free += quantity
-                give(at)
+                release()
+            for f in before:
+                f(name, r.request_id, r.t, r.quantity)
             heapq.heappush(waiting, (r.priority, r.t, r.request_id, r.quantity, r.t, r.hold))
             give(r.t)
         while held:
-            at, _, quantity = heapq.heappop(held)
-            free += quantity
-            give(at)
+            release()
         done = pd.DataFrame(out, columns=["request_id", "t", "granted_t", "released_t"])
         done.insert(0, "resource", pdf["resource"].iloc[0])
         return done
@@ -188,5 +205,11 @@ HOOKS: dict[str, list[Callable]] = {}
 
 
 def on(event: str, f: Callable) -> None:
-    """Registers a callback for the event loops: pre_request, post_release, enqueue, dequeue or route."""
+    """Registers a callback for the event loops that are made from now on; it runs where the queue's task runs.
+
+    enqueue(queue, entity, t, success), dequeue(queue, entity, t), pre_request and post_request(resource,
+    request, t, quantity), release(resource, request, t).
+    """
+    if event not in ("enqueue", "dequeue", "pre_request", "post_request", "release"):
+        raise ValueError(f"unknown event {event!r}")
     HOOKS.setdefault(event, []).append(f)

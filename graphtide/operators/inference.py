@@ -87,8 +87,11 @@ def _heads(rows: DataFrame, r: Rule) -> DataFrame:
     return reduce(DataFrame.union, out)
 
 
-def infer(graph: Graph, rules: list[Rule], most_rounds: int = 10) -> tuple[Graph, DataFrame]:
-    """The graph with all that the rules imply, and the new triples. New triples go to the default graph."""
+def infer(graph: Graph, rules: list[Rule], most_rounds: int = 200) -> tuple[Graph, DataFrame]:
+    """The graph with all that the rules imply, and the new triples, which go to the default graph.
+
+    Rules that go on after so many rounds are an error, not a part of the result.
+    """
     known = settle(graph.scan().select("s", "s_kind", "p", "o"))
     fresh, found = known, graph.spark.createDataFrame([], QUAD).select("s", "s_kind", "p", "o")
     bag = lambda d: Graph(d.withColumn("g", F.lit(DEFAULT)))
@@ -107,6 +110,8 @@ def infer(graph: Graph, rules: list[Rule], most_rounds: int = 10) -> tuple[Graph
         if not new.limit(1).count():
             break
         known, fresh, found = settle(known.union(new)), new, found.union(new)
+    else:
+        raise RuntimeError(f"rules without a fixpoint after {most_rounds} rounds")
     return graph.add(found, DEFAULT), found
 
 

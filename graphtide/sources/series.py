@@ -40,10 +40,11 @@ def filled(series: DataFrame, how: str = "forward") -> DataFrame:
     """
     if how == "zero":
         return series.withColumn("value", F.coalesce("value", F.lit(0.0)))
-    w = Window.partitionBy("var").orderBy("t")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # The next point is the last one before it in falling order: frames that only grow are linear.
+    before = Window.partitionBy("var").orderBy("t", "value").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("var").orderBy(F.desc("t"), "value").rowsBetween(Window.unboundedPreceding, 0)
     point = F.when(F.col("value").isNotNull(), F.struct(F.col("t").alias("t"), F.col("value").alias("v")))
-    rows = series.withColumn("_l", F.last(point, True).over(back)).withColumn("_r", F.first(point, True).over(ahead))
+    rows = series.withColumn("_l", F.last(point, True).over(before)).withColumn("_r", F.last(point, True).over(after))
     held = F.coalesce(F.col("_l.v"), F.col("_r.v"), F.lit(0.0))
     if how == "forward":
         return rows.withColumn("value", held).drop("_l", "_r")
