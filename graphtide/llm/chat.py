@@ -65,7 +65,7 @@ def rotate_perspectives(turns: DataFrame, part_chars: int = 200_000) -> DataFram
     kept. Other columns are not read.
     """
     small_batches(turns.sparkSession, 500)
-    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit(NOBODY)).alias("speaker"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    t = turns.select(F.col("conv_id").try_cast("long").alias("conv_id"), F.col("turn").try_cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit(NOBODY)).alias("speaker"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     t = t.withColumn("_key", F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))).withColumn("_size", (F.char_length("text") + 64).cast("long"))
     numbered, _, _ = ordered_prefix(t, [F.col("turn").asc_nulls_first(), F.col("speaker"), F.col("text")], "_size", group="_key")
     parts = numbered.withColumn("part", F.expr(f"cast(_before div {part_chars}L as int)")).groupBy("_key", "conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("_pos", "speaker", "text"))).alias("turns"))

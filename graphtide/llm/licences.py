@@ -209,5 +209,5 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     read; other columns are not.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scan(), "doc_id long, licences array<string>, starts array<long>, ends array<long>, n_matches long")

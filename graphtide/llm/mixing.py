@@ -85,7 +85,7 @@ def plan_mixture(docs: DataFrame, budget: int | None = None, entropy_share: floa
     budget: tokens of the mixture, all tokens if not given. entropy_share: target entropy as a share of the
     largest possible. The driver gets one row for each source.
     """
-    rows = docs.select(_source_key(F.col("source")).alias("_s"), F.col("source"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"), _tokens(F.col("text")).alias("tokens"))
+    rows = docs.select(_source_key(F.col("source")).alias("_s"), F.col("source"), F.col("doc_id").try_cast("long").alias("_id"), F.xxhash64("text").alias("_th"), _tokens(F.col("text")).alias("tokens"))
     found = {r["_s"]: r for r in rows.groupBy("_s").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
     tokens = {s: r["t"] for s, r in found.items()}
     total = sum(tokens.values())
@@ -128,7 +128,7 @@ def mix_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     """
     ends = plan_mixture(docs, seed=seed, **options).ends
     names = docs.columns
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), _source_key(F.col("source")).alias("_s"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), _source_key(F.col("source")).alias("_s"), F.col("doc_id").try_cast("long").alias("_id"), F.xxhash64("text").alias("_th"))
     d = d.join(ends.hint("broadcast") if ends.count() <= 100_000 else ends, "_s")
     place = _place(F.col("passes"), F.col("blocks"), seed)
     last = (F.col("rest") > 0) & (F.col("_end").isNull() | (place < F.col("_end")))

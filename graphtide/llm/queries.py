@@ -71,4 +71,40 @@ QUERIES = {
         op10_sentencepiece,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+# DuckDB has no crc32, so its table is made by the usual rule and folded over the bytes.
+_SHARDING = """WITH RECURSIVE c(i, k, v) AS (SELECT i, 0, i::BIGINT FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM c WHERE k < 8),
+ tab AS (SELECT list(v ORDER BY i) AS t FROM c WHERE k = 8),
+ d AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+ h AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM d, tab),
+ b AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM h),
+ s AS (SELECT *, least((before * 2 + size) * 24 // (2 * total), 23)::INT AS shard FROM b)
+ SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32) - 1 AS slot, NULL::INT AS grown_shard FROM s"""
+
+_ROTATION = """WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+ n AS (SELECT *, row_number() OVER w AS pos, (sum(length(text) + 64) OVER w - length(text) - 64) // 200000 AS part FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING)),
+ v AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+ r AS (SELECT n.conv_id, v.perspective, part, pos, n.speaker = v.perspective AS own, replace(text, '<|', '< |') || '<|im_end|>' AS body,
+  CASE WHEN n.speaker = 'system' THEN '<|im_start|>system' || chr(10) WHEN n.speaker = v.perspective THEN '<|im_start|>assistant' || chr(10) ELSE '<|im_start|>user name=' || replace(n.speaker, '<|', '< |') || chr(10) END AS head
+  FROM n JOIN v ON n.conv_id IS NOT DISTINCT FROM v.conv_id),
+ o AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY pos ROWS UNBOUNDED PRECEDING) - length(body) - 1 AS starts FROM r)
+ SELECT conv_id, perspective, part::INT AS part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY pos) AS text, coalesce(list(starts::BIGINT ORDER BY pos) FILTER (own), []) AS mask_starts,
+ coalesce(list((starts + length(body))::BIGINT ORDER BY pos) FILTER (own), []) AS mask_ends, coalesce(sum(length(body)) FILTER (own), 0)::BIGINT AS n_learned FROM o GROUP BY ALL"""
+
+_JOIN = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS x FROM w),
+ e AS (SELECT doc_id, len(x) AS n, unnest(x) AS g FROM s),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+ r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+ SELECT doc_id, len(x)::BIGINT AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = doc_id), doc_id)) AS component_id FROM s"""
+
+_QUALITY = r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+ v AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS p, words FROM w WHERE len(words) >= 3),
+ g AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, words[p], words[p + 1], words[p + 2]) AS c FROM v),
+ q AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS place FROM g WHERE c > 1) GROUP BY doc_id),
+ b AS (SELECT doc_id, text, words, len(lines) AS n_lines, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN q USING (doc_id)),
+ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 10 * n_symbols > n_words OR 2 * word_chars < 5 * n_words OR word_chars > 12 * n_words OR 2 * n_dup_lines > n_lines OR 20 * len(list_distinct(words)) < n_words
+  OR 2 * len(regexp_extract_all(text, '\p{L}')) < word_chars OR 10 * len(regexp_extract_all(text, '(?m)(\.\.\.|…)$')) > 3 * n_lines OR 10 * len(regexp_extract_all(text, '(?m)^[ \t]*[•*-] ')) > 9 * n_lines) AS kept FROM f"""
+
+ORACLE_SQL: dict[str, str] = {"op1_sharding": _SHARDING, "op3_quality_rules": _QUALITY, "op4_chat_formatting": _ROTATION, "op9_jaccard_join": _JOIN}

@@ -448,7 +448,7 @@ def first_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     kept = named.where("n > 0").groupBy("comp").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("doc_id"), F.col("o.rid").alias("rid"))
     kept = scratch.write(kept.join(named.select("rid", "th"), "rid").select("doc_id", "th"), "kept")
     key, th = unused(docs, 2)
-    marked = docs.withColumn(th, _text_hash(F.col("text"))).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col(th)))
+    marked = docs.withColumn(th, _text_hash(F.col("text"))).withColumn(key, F.xxhash64(F.col("doc_id").try_cast("long"), F.col(th)))
     wordy = has_word(F.col("text"))
     kept = kept.select(F.xxhash64("doc_id", "th").alias(key), F.col("th").alias(th))
     once = marked.where(wordy).join(kept, [key, th], "left_semi").dropDuplicates([key, th])
@@ -475,7 +475,7 @@ def _components(docs: DataFrame, k: int, percent: int, block_shingles: int = 2_0
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     small_batches(spark)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(F.col("text")).alias("th"), F.col("text").cast("string").alias("text"))
+    source = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), _text_hash(F.col("text")).alias("th"), F.col("text").cast("string").alias("text"))
     light = scratch.write(source.mapInArrow(_light(k), _LIGHT), "light")
     node = light.where("n > 0").groupBy("n", "s0", "s1").agg(F.min(F.struct("rid", "doc_id", "th")).alias("r"))
     node = scratch.write(node.select(F.col("r.rid").alias("rep"), "r.doc_id", "r.th", "n", "s0", "s1"), "node")
