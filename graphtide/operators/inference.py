@@ -1,7 +1,8 @@
 """Forward chaining over graphs: rules as joins, the RDFS and OWL rules, and query-time types.
 
 Rules are evaluated semi-naively: in each round at least one atom of a body is matched against the facts that
-the last round found, and facts already known are taken out by an anti-join.
+the last round found, and facts already known are taken out by an anti-join. Rules that only chain one
+predicate are closed by doubling paths over nodes instead.
 """
 
 from __future__ import annotations
@@ -87,6 +88,47 @@ def _heads(rows: DataFrame, r: Rule) -> DataFrame:
     return reduce(DataFrame.union, out)
 
 
+def _chains(r: Rule):
+    """Of a rule (?x p ?y), (?y p ?z) -> (?x p ?z), where p is constant or a variable told by one more pattern: p and that pattern."""
+    if len(r.body) not in (2, 3) or len(r.head) != 1:
+        return None
+    for i, j in ((0, 1), (1, 0)):
+        links = r.body[-2:]
+        x, y = links[i], links[j]
+        told = r.body[0] if len(r.body) == 3 else None
+        ends = (x.s, x.o, y.o)
+        same = x.p == y.p and x.o == y.s and r.head[0] == Pattern(x.s, x.p, y.o)
+        free = all(isinstance(v, Var) for v in ends) and len(set(ends)) == 3 and x.p not in ends
+        schema = isinstance(x.p, Const) if told is None else told.s == x.p and isinstance(x.p, Var) and isinstance(told.p, Const) and isinstance(told.o, Const)
+        if same and free and schema:
+            return x.p, told
+    return None
+
+
+def _predicates(known: DataFrame, chain) -> DataFrame:
+    """(p): the predicates that a chain rule closes."""
+    p, told = chain
+    if told is None:
+        return known.sparkSession.createDataFrame([(p.lex,)], "p string")
+    return Graph(known.withColumn("g", F.lit(DEFAULT))).scan(p=told.p.lex, o=told.o).where("s_kind = 0").select(F.col("s").alias("p")).distinct()
+
+
+def _closed(known: DataFrame, chain) -> DataFrame:
+    """The facts (s, s_kind, p, o) that a chain rule adds to the known ones; a literal can only end a path."""
+    facts = settle(known.join(_predicates(known, chain), "p", "left_semi"))
+    links = facts.where("o.kind < 2").select("p", "s_kind", "s", F.col("o.kind").alias("o_kind"), F.col("o.lex").alias("o_lex"))
+    both = links.select("p", F.col("s_kind").alias("kind"), F.col("s").alias("lex")).union(links.select("p", "o_kind", "o_lex"))
+    nodes = settle(both.distinct().withColumn("id", F.monotonically_increasing_id()))  # paths are walked over numbers
+    named = lambda kind, lex, x: nodes.select("p", F.col("kind").alias(kind), F.col("lex").alias(lex), F.col("id").alias(x))
+    far = reach(links.join(named("s_kind", "s", "a"), ["p", "s_kind", "s"]).join(named("o_kind", "o_lex", "b"), ["p", "o_kind", "o_lex"]).select("a", "b"))
+    starts = far.join(named("s_kind", "s", "a"), "a")
+    rows = starts.join(named("o_kind", "o_lex", "b").drop("p"), "b").select("s", "s_kind", "p", T.term(F.col("o_kind"), F.col("o_lex")).alias("o"))
+    ends = facts.where("o.kind = 2").join(named("s_kind", "s", "b"), ["p", "s_kind", "s"]).select("b", "o")
+    rows = identified(rows.union(starts.join(ends, "b").select("s", "s_kind", "p", "o")))
+    keys = ["s", "s_kind", "p", "_k"]
+    return rows.dropDuplicates(keys).join(identified(known).select(*keys), keys, "left_anti").drop("_k").select("s", "s_kind", "p", "o")
+
+
 def infer(graph: Graph, rules: list[Rule], most_rounds: int = 200) -> tuple[Graph, DataFrame]:
     """The graph with all that the rules imply, and the new triples, which go to the default graph.
 
@@ -95,26 +137,54 @@ def infer(graph: Graph, rules: list[Rule], most_rounds: int = 200) -> tuple[Grap
     known = settle(graph.scan().select("s", "s_kind", "p", "o"))
     fresh, found = known, graph.spark.createDataFrame([], QUAD).select("s", "s_kind", "p", "o")
     bag = lambda d: Graph(d.withColumn("g", F.lit(DEFAULT)))
+    chains = [c for c in map(_chains, rules) if c]
+    steps = [r for r in rules if not _chains(r)]
+    first, stirred = True, chains  # stirred: the chains whose facts or predicates may be new
     for _ in range(most_rounds):
+        told = set()
+        for c in stirred:
+            more = settle(_closed(known, c))
+            if more.limit(1).count():
+                known, found = settle(known.union(more)), found.union(more)
+                fresh = known if first else fresh.union(more)
+                told |= {x for x in chains if x is not c and _stirs(more, known, x)}
+                told |= {c} if _tells(more, c) else set()
         parts = []
-        for r in rules:
+        for r in steps:
             for i in range(len(r.body)):
-                if fresh is known and i:
+                if first and i:
                     break  # in the first round everything is new
                 split = _Split(bag(known), bag(fresh), r.body[i])
                 rows, _ = _DeltaCompiler(split).bgp(list(r.body))
                 parts.append(_heads(rows, r))
-        made = distinct(reduce(DataFrame.union, parts))
-        keys = ["s", "s_kind", "p", "_k"]
-        new = settle(identified(made).join(identified(known).select(*keys), keys, "left_anti").drop("_k"))
-        if not new.limit(1).count():
+        first, fresh = False, fresh.limit(0)
+        if parts:
+            made = distinct(reduce(DataFrame.union, parts))
+            keys = ["s", "s_kind", "p", "_k"]
+            fresh = settle(identified(made).join(identified(known).select(*keys), keys, "left_anti").drop("_k"))
+            if fresh.limit(1).count():
+                known, found = settle(known.union(fresh)), found.union(fresh)
+                told |= {x for x in chains if _stirs(fresh, known, x)}
+            elif not told:
+                break
+        elif not told:
             break
-        known, fresh, found = settle(known.union(new)), new, found.union(new)
+        stirred = [c for c in chains if c in told]
     else:
         raise RuntimeError(f"rules without a fixpoint after {most_rounds} rounds")
     return graph.add(found, DEFAULT), found
 
 
+def _tells(rows: DataFrame, chain) -> bool:
+    """Whether facts may make a predicate one that the chain rule closes."""
+    return chain[1] is not None and rows.where(F.col("p") == chain[1].p.lex).limit(1).count() > 0
+
+
+def _stirs(rows: DataFrame, known: DataFrame, chain) -> bool:
+    """Whether facts may give a chain rule more to close."""
+    return _tells(rows, chain) or rows.join(_predicates(known, chain), "p", "left_semi").limit(1).count() > 0
+
+
 def subclasses(graph: Graph, predicate: str = T.RDFS + "subClassOf") -> DataFrame:
     """(a, b): a is below b, by one step or more."""
     return reach(graph.scan(p=predicate).select(F.col("s").alias("a"), F.col("o.lex").alias("b")))
