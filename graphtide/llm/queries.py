@@ -5,12 +5,15 @@ from __future__ import annotations
 from .attention_lm import score_documents
 from .chat import rotate_perspectives
 from .common import read
+from .decontamination import contamination
+from .divergence import divergences
 from .licences import scan_licences
 from .line_dedup import dedup_lines
 from .mixing import mixture
 from .pieces import encode_documents
 from .posting_lists import nearest
 from .quality import quality_verdicts
+from .resampling import resampled
 from .sharding import shard_documents
 from .signature_trees import jaccard_components
 
@@ -56,6 +59,18 @@ def op10_sentencepiece(spark, sf_dir):
     return encode_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark, sf_dir):
+    return divergences(read(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
+def op12_decontamination(spark, sf_dir):
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=10)
+
+
+def op13_importance_resampling(spark, sf_dir):
+    return resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), percent=10, least_words=20, buckets=10_000, longest=1, seed="2024")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,6 +84,9 @@ QUERIES = {
         op8_source_mixing,
         op9_jaccard_join,
         op10_sentencepiece,
+        op11_source_divergence,
+        op12_decontamination,
+        op13_importance_resampling,
     )
 }
 # DuckDB has no crc32, so its table is made by the usual rule and folded over the bytes.
@@ -107,4 +125,44 @@ _QUALITY = r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extr
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 10 * n_symbols > n_words OR 2 * word_chars < 5 * n_words OR word_chars > 12 * n_words OR 2 * n_dup_lines > n_lines OR 20 * len(list_distinct(words)) < n_words
   OR 2 * len(regexp_extract_all(text, '\p{L}')) < word_chars OR 10 * len(regexp_extract_all(text, '(?m)(\.\.\.|…)$')) > 3 * n_lines OR 10 * len(regexp_extract_all(text, '(?m)^[ \t]*[•*-] ')) > 9 * n_lines) AS kept FROM f"""
 
-ORACLE_SQL: dict[str, str] = {"op1_sharding": _SHARDING, "op3_quality_rules": _QUALITY, "op4_chat_formatting": _ROTATION, "op9_jaccard_join": _JOIN}
+# Dense, where the operator is sparse: every kept term of a language against every source.
+_DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+ t AS (SELECT rid, lang, source, term, count(*) AS n FROM (SELECT rid, lang, source, unnest(words) AS term FROM d) GROUP BY ALL),
+ k AS (SELECT lang, term, sum(n)::HUGEINT AS total FROM t GROUP BY ALL HAVING count(*) >= 3),
+ c AS (SELECT lang, source, term, sum(n)::HUGEINT AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+ g AS (SELECT DISTINCT lang, source FROM d), v AS (SELECT lang, count(*) AS v, sum(total) AS ln FROM k GROUP BY ALL), s AS (SELECT lang, source, sum(n) AS gn FROM c GROUP BY ALL),
+ a AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (coalesce(s.gn, 0) + v.v) AS p, 1 + 1000000000 * (k.total + 1) // (v.ln + v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+ f AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM a x JOIN a y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+ o AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM a WHERE n > 0 AND p > q)
+ SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o QUALIFY part = 'pair' OR rank <= 200"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_CONTAMINATION = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+ b AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, w, least(len(w), 10) AS l FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+ x AS (SELECT DISTINCT item_id, l, unnest(list_transform(range(1, len(w) - l + 2), lambda i: array_to_string(w[i:i + l - 1], ' '))) AS g FROM b),
+ r AS (SELECT rid, l, unnest(list_transform(range(1, len(w) - l + 2), lambda i: {{'i': i, 'g': array_to_string(w[i:i + l - 1], ' ')}})) AS z FROM d, (SELECT DISTINCT l FROM b)),
+ m AS (SELECT rid, z.i AS i, x.l AS l, item_id FROM r JOIN x ON x.l = r.l AND x.g = r.z.g),
+ h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + l)) AS p FROM m) GROUP BY rid),
+ j AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id FROM m) GROUP BY rid)
+ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (rid) LEFT JOIN j USING (rid)"""
+
+_RESAMPLING = f"""WITH RECURSIVE c(i, k, v) AS (SELECT i, 0, i::BIGINT FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM c WHERE k < 8),
+ tab AS (SELECT list(v ORDER BY i) AS t FROM c WHERE k = 8),
+ d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+ dw AS (SELECT rid, unnest(w) AS word FROM d), bw AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+ u AS (SELECT word, list_transform(regexp_extract_all(hex(encode(word)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+ k AS (SELECT word, xor(list_reduce(bytes, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket FROM u, tab),
+ s AS (SELECT bucket, count(*) AS s FROM dw JOIN k USING (word) GROUP BY ALL), t AS (SELECT bucket, count(*) AS t FROM bw JOIN k USING (word) GROUP BY ALL),
+ n AS (SELECT (SELECT count(*) FROM dw) + 10000 AS sn, (SELECT count(*) FROM bw) + 10000 AS tn),
+ g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * sn::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * tn::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (bucket), n),
+ w AS (SELECT rid, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM dw JOIN k USING (word) JOIN g USING (bucket) GROUP BY ALL),
+ z AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN w USING (rid)),
+ o AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) END AS r FROM z)
+ SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * (SELECT count(*) FROM z WHERE n_features >= 20) // 100 THEN r END AS rank FROM o"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": _SHARDING, "op3_quality_rules": _QUALITY, "op4_chat_formatting": _ROTATION, "op9_jaccard_join": _JOIN,
+    "op11_source_divergence": _DIVERGENCE, "op12_decontamination": _CONTAMINATION, "op13_importance_resampling": _RESAMPLING,
+}
