@@ -71,11 +71,11 @@ def _met(docs: DataFrame, shingles: DataFrame, lengths: list[int], size: int, mo
             rows = rows.join(found, "_rid", "left").withColumn(f"_at{k}", F.coalesce(f"_at{k}", F.array().cast("array<int>")))
     each = [_shingled("_words", F.col(f"_at{k}"), k, near=around) for k in lengths]
     empty = F.array().cast("array<struct<i:int,h:bigint,near:array<string>>>")
-    return rows.withColumn("_met", F.concat(*each) if each else empty).drop("_words", *[f"_at{k}" for k in lengths])
+    return rows.withColumn("_met", F.concat(*each) if each else empty).drop("text", "_words", *[f"_at{k}" for k in lengths])
 
 
 def leaks(docs: DataFrame, items: DataFrame, size: int = 10, most: int = MOST_LITERALS, name: str = "leaks") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents with row ids and n_words, the places of windows (_rid, start, width) and the items met (_rid, item_id).
+    """Documents with row ids and n_words in place of the text, the places of windows (_rid, start, width) and the items met (_rid, item_id).
 
     docs: any columns with text among them; items: item_id and text. Null and empty texts have no words and
     are in no place; a text of any length is read whole; repeated rows are rows of their own; items that
