@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphtide.operators.graph import QUAD
+
 
 def event_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
     """Events from Parquet files as they appear in a folder."""
@@ -34,18 +36,22 @@ def correlated(actions: DataFrame, events: DataFrame, seconds: int = 60, late: s
 
 
 def fire_rules(events: DataFrame, engine, to_quads: Callable[[DataFrame], DataFrame], checkpoint: str, sink: str, id_column: str = "id", late: str = "1 day"):
-    """Starts a query that adds each batch's events to the engine's graph and evaluates its rules.
+    """Starts a query that adds each batch's events to the engine's graph and evaluates all its rules on all of it.
 
-    An event id within the watermark triggers once; executions are appended to the sink as Parquet, a folder for
-    each batch, so that a batch that is run again overwrites its own.
+    An event id within the watermark triggers once; quads and executions are stored as Parquet, a folder for each
+    batch, so that a batch that is run again overwrites its own, and a query that is started again has all earlier facts.
+    For rules whose cost should follow the batch see :mod:`graphtide.streaming.incremental`.
     """
-    time = "ts"
+    time, given = "ts", engine.graph
     once = events.withWatermark(time, late).dropDuplicatesWithinWatermark([id_column])
 
     def batch(rows: DataFrame, number: int) -> None:
         if not rows.limit(1).count():
             return
-        engine.graph = engine.graph.add(to_quads(rows))
+        spark = rows.sparkSession
+        to_quads(rows).select("g", "s", "s_kind", "p", "o").write.mode("overwrite").parquet(f"{checkpoint}-facts/batch={number}")
+        stored = spark.read.schema(f"{QUAD}, batch int").parquet(f"{checkpoint}-facts").where(F.col("batch") <= number)
+        engine.graph = given.add(stored.drop("batch"))
         engine.evaluate().write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return once.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
