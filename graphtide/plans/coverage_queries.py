@@ -13,9 +13,12 @@ from graphtide.operators import discrete as Q
 from graphtide.operators import dynamics as D
 from graphtide.operators import optimise as O
 from graphtide.operators import rules as R
+from graphtide.operators.closure import scratch_dir
 from graphtide.operators.graph import Graph
 from graphtide.operators.inference import InferredGraph, infer, rdfs_rules
-from graphtide.plans.sparql import flat, query
+from graphtide.operators.stored import StoredGraph
+from graphtide.plans.sparql import Compiler, flat, query
+from graphtide.plans.sparql_parser import Const
 from graphtide.sources import mapping as M
 from graphtide.sources import series
 from graphtide.sources.sysd import parse_sysd
@@ -355,3 +358,56 @@ def mapping_from_spec(spark, sf_dir):
     spec = {"target_graph": "graph/x", "entity": {"class": EX + "Region", "id_column": "r_regionkey", "id_prefix": EX + "r"}, "columns": {"r_name": {"predicate": EX + "label", "type": "string"}}}
     rows = M.quads(M.Mapping.parse(spec), table(spark, sf_dir, "region"))
     return rows.where(F.col("p") == EX + "label").select("s", "p", F.col("o")["lex"].alias("o"))
+
+
+# ---------------------------------------------------------------- stored graphs and loose variables
+
+
+@registered("SELECT c_name AS m, c_acctbal AS b, n_name AS l FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def stored_star(spark, sf_dir):
+    """A star of three patterns and one more on a graph in three layouts: buckets meet without a shuffle."""
+    g = StoredGraph.create(kb(spark, sf_dir, "customer", "nation").materialise().quads, scratch_dir(spark, "stored"), 16)
+    return flat(g.query(f"PREFIX ex: <{EX}> SELECT ?m ?b ?l WHERE {{ ?c ex:name ?m ; ex:balance ?b ; ex:nation ?n . ?n ex:label ?l }}"), m="lex", b="num", l="lex")
+
+
+@registered(f"SELECT '{EX}o' || o_orderkey AS s FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT '{EX}new' FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)")
+def stored_object_scan(spark, sf_dir):
+    """A bound object on a stored graph that grew: its bucket alone is read, what came twice is there once."""
+    quads = kb(spark, sf_dir, "orders").materialise().quads.where(F.col("p") == EX + "priority")
+    g = StoredGraph.create(quads, scratch_dir(spark, "stored"), 16)
+    fresh = Graph.of(spark, [(EX + "new", EX + "priority", ("1-URGENT", None, None))]).quads
+    g.add(quads.where("o.lex = '1-URGENT'").withColumn("g", F.lit("again")).unionByName(fresh))
+    return g.scan(p=EX + "priority", o=Const(T.LITERAL, "1-URGENT")).select("s")
+
+
+_LOOSE = """WITH l AS (SELECT c_custkey, CASE WHEN c_acctbal > 3000 THEN c_mktsegment END AS x FROM customer),
+ r AS (SELECT o_custkey, o_orderkey, o_orderpriority, CASE WHEN o_totalprice > 200000 THEN o_orderpriority END AS x FROM orders)"""
+_ORDERS = f"'{EX}c' || c_custkey AS c, '{EX}o' || o_orderkey AS o"
+_SEGMENT = "?c ex:name ?m ; ex:balance ?b . OPTIONAL { ?c ex:segment ?x . FILTER(?b > 3000) }"
+_PRIORITY = "?o ex:customer ?c ; ex:total ?t . OPTIONAL { ?o ex:priority ?x . FILTER(?t > 200000) }"
+
+
+@registered(f"{_LOOSE} SELECT {_ORDERS}, coalesce(l.x, r.x) AS x FROM l JOIN r ON c_custkey = o_custkey AND (l.x IS NULL OR r.x IS NULL OR l.x = r.x)")
+def loose_join(spark, sf_dir):
+    """A variable that either side may leave unbound: parts with equal masks meet by equality."""
+    return ask(spark, sf_dir, ("customer", "orders"), f"SELECT ?c ?o ?x WHERE {{ {{ {_SEGMENT} }} {{ {_PRIORITY} }} }}", c="lex", o="lex", x="lex")
+
+
+@registered(f"{_LOOSE} SELECT {_ORDERS}, coalesce(l.x, o_orderpriority) AS x FROM l JOIN r ON c_custkey = o_custkey")
+def loose_optional(spark, sf_dir):
+    """A second optional part that gives the value where the first one had none."""
+    return ask(spark, sf_dir, ("customer", "orders"), f"SELECT ?c ?o ?x WHERE {{ {_SEGMENT} ?o ex:customer ?c . OPTIONAL {{ ?o ex:priority ?x }} }}", c="lex", o="lex", x="lex")
+
+
+@registered(
+    f"""WITH n AS (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey END AS x FROM nation), s AS (SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_nationkey % 5 END AS x FROM supplier)
+ SELECT '{EX}n' || n_nationkey AS n, count(*)::BIGINT AS k, count(coalesce(n.x, s.x))::BIGINT AS bound FROM n JOIN s ON n.x IS NULL OR s.x IS NULL OR n.x = s.x GROUP BY ALL"""
+)
+def loose_join_alone(spark, sf_dir):
+    """The same with no other variable in common: what binds nothing goes with all, dealt over salts."""
+    c = Compiler(kb(spark, sf_dir, "nation"))
+    iri = lambda prefix, x: T.iri(F.concat(F.lit(EX + prefix), x.cast("string")))
+    n = table(spark, sf_dir, "nation").select(iri("n", F.col("n_nationkey")).alias("n"), F.when(F.col("n_nationkey") % 2 == 0, T.number(F.col("n_regionkey"))).alias("x"))
+    s = table(spark, sf_dir, "supplier").select(iri("s", F.col("s_suppkey")).alias("s"), F.when(F.col("s_acctbal") > 0, T.number(F.col("s_nationkey") % 5)).alias("x"))
+    out = c.join(n, s, {"n", "x"}, {"s", "x"}, {"x"}, {"x"})
+    return out.groupBy(F.col("n.lex").alias("n")).agg(F.count(F.lit(1)).alias("k"), F.count("x").alias("bound"))

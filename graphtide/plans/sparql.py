@@ -27,6 +27,10 @@ def _const(c: Const) -> Column:
     return T.constant(c.kind, c.lex, c.dt, c.lang)
 
 
+#: Parts that go with each other whole meet in so many tasks.
+SALTS = 16
+
+
 class Compiler:
     """Compiles for one graph. strict: a filter that errs drops the row (default: keeps it, numbers lenient)."""
 
@@ -132,22 +136,68 @@ class Compiler:
     def join(self, a: DataFrame, b: DataFrame, va: set[str], vb: set[str], loose_a: set[str], loose_b: set[str], how: str = "inner", extra=None) -> DataFrame:
         """Joins solutions on shared variables. loose: variables that may be unbound, which go with any value."""
         shared = sorted(va & vb)
+        if (loose_a | loose_b) & set(shared):
+            return self._masked(a, b, shared, loose_a & set(shared), loose_b & set(shared), how, extra)
         b = b.select(*[F.col(c).alias(f"_r_{c}") if c in shared or c == "_one" else F.col(c) for c in b.columns])
         conditions = []
         for v in shared:
-            l, r = F.col(v), F.col(f"_r_{v}")
-            same = T.key(l) == T.key(r)
-            conditions.append((l.isNull() | r.isNull() | same) if v in loose_a | loose_b else same)
+            conditions.append(T.key(F.col(v)) == T.key(F.col(f"_r_{v}")))
         if extra is not None:
             conditions.append(extra(b))
         if how in ("left_semi", "left_anti"):
             return a.join(b, reduce(Column.__and__, conditions), how)
         out = a.join(b, reduce(Column.__and__, conditions), how) if conditions else (a.crossJoin(b) if how == "inner" else a.join(b, F.lit(True), how))
-        for v in shared:
-            if v in loose_a:
-                out = out.withColumn(v, F.coalesce(F.col(v), F.col(f"_r_{v}")))
         return out.drop(*[f"_r_{v}" for v in [*shared, "_one"]])
 
+    def _masked(self, a: DataFrame, b: DataFrame, shared: list[str], loose_a: set[str], loose_b: set[str], how: str, extra) -> DataFrame:
+        """A join on variables that may be unbound: each side is split by which of them it binds, and each pair of
+        parts joins on those that both bind, by equality.
+
+        Parts without a common variable go with each other whole; there one side is dealt over salts and the
+        other repeated for each, so this too is an equality.
+        """
+        b = b.select(*[F.col(c).alias(f"_r_{c}") if c in shared or c == "_one" else F.col(c) for c in b.columns])
+
+        def parts(rows: DataFrame, loose: set[str], prefix: str) -> list[tuple[set[str], DataFrame]]:
+            split = [(set(shared) - loose, rows)]
+            for v in sorted(loose):
+                there = F.col(prefix + v).isNotNull()
+                split = [x for bound, part in split for x in ((bound | {v}, part.where(there)), (bound, part.where(~there)))]
+            return split
+
+        def met(left: DataFrame, right: DataFrame, both: set[str], how: str) -> DataFrame:
+            conditions = [T.key(F.col(v)) == T.key(F.col(f"_r_{v}")) for v in sorted(both)] + ([] if extra is None else [extra(right)])
+            if both:
+                return left.join(right, reduce(Column.__and__, conditions), how)
+            if how == "inner":
+                left = left.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+                right = right.withColumn("_r_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+                return left.join(right, reduce(Column.__and__, conditions, F.col("_salt") == F.col("_r_salt"))).drop("_salt", "_r_salt")
+            if extra is not None:  # any row of the right may satisfy the condition
+                return left.join(right, conditions[0], how)
+            some = right.limit(1).select(F.lit(0).alias("_r_some"))  # one row at most, so small enough to send
+            return left.withColumn("_some", (F.rand(0) < 0).cast("int")).join(F.broadcast(some), F.col("_some") == F.col("_r_some"), how).drop("_some")
+
+        left, right = parts(a, loose_a, ""), parts(b, loose_b, "_r_")
+        new = [c for c in b.columns if not c.startswith("_r_")]
+        out: list[DataFrame] = []
+        for bound, rows in left:
+            if how in ("inner", "left"):
+                for bound_r, rows_r in right:
+                    joined = met(rows, rows_r, bound & bound_r, "inner")
+                    out.append(joined.select(*[F.col(f"_r_{c}").alias(c) if c in shared and c not in bound else F.col(c) for c in a.columns], *new))
+            rest = rows
+            for bound_r, rows_r in right if how != "inner" else []:
+                if how == "left_semi":
+                    out.append(met(rest, rows_r, bound & bound_r, "left_semi"))
+                rest = met(rest, rows_r, bound & bound_r, "left_anti")
+            if how == "left_anti":
+                out.append(rest)
+            elif how == "left":
+                kinds = dict(b.dtypes)
+                out.append(rest.select(*a.columns, *[F.lit(None).cast(kinds[c]).alias(c) for c in new]))
+        return reduce(DataFrame.union, out)
+
     # ------------------------------------------------------------ algebra: (rows, variables, those that may be unbound)
 
     def node(self, n: Node) -> tuple[DataFrame, set[str], set[str]]:

@@ -86,3 +86,11 @@ def test_functions_on_null(spark):
     got = query(g, f"SELECT (STRLEN(?v) AS ?n) (UCASE(?none) AS ?u) (1 / 0 AS ?d) WHERE {{ ?x <{P}p> ?v }}").first()
     assert got["n"]["num"] == 0 and got["u"] is None and got["d"] is None
     assert T.LITERAL == 2
+
+
+def test_loose_joins_have_no_nested_loop(spark, small):
+    from graphtide.plans import coverage_queries as C
+
+    for name in ("loose_join", "loose_optional", "loose_join_alone"):
+        plan = C.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name
