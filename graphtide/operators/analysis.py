@@ -10,6 +10,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scans import average_rank
+from .skyline import skyline
+
 
 def final_values(trajectories: DataFrame) -> DataFrame:
     """(run_id, var, value) at each run's last step."""
@@ -112,9 +115,7 @@ def morris(outputs: DataFrame) -> DataFrame:
 def average_ranks(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """With rank_<column>: ranks from 1, ties sharing their mean rank."""
     for c in columns:
-        order = Window.partitionBy(*(by or [])).orderBy(c)
-        peers = Window.partitionBy(*(by or []), c)
-        rows = rows.withColumn(f"rank_{c}", F.rank().over(order) + (F.count(F.lit(1)).over(peers) - 1) / 2)
+        rows = average_rank(rows, c, f"rank_{c}", by)
     return rows
 
 
@@ -169,22 +170,8 @@ def oat(names: list[str], ranges: dict[str, tuple[float, float]]) -> list[tuple]
 
 
 def pareto(rows: DataFrame, objectives: list[str], key: str) -> DataFrame:
-    """Rows that none is at least as good as in all objectives (smaller is better) and better in one.
-
-    Two objectives: one sorted window; more: a front of blocks, each compared with the others' fronts.
-    """
-    if len(objectives) == 2:
-        a, b = objectives
-        # In order of a (then b), a row is dominated if a smaller b came before, or its own b at a smaller a.
-        best = rows.groupBy(a).agg(F.min(b).alias("_b"))
-        less = F.min("_b").over(Window.orderBy(a).rowsBetween(Window.unboundedPreceding, -1))
-        front = best.withColumn("_less", less).where("_less is null or _b < _less").select(a, F.col("_b").alias(b))
-        return rows.join(front, [a, b], "left_semi")
-    p, q = rows.alias("p"), rows.select(*[F.col(c).alias(f"_{c}") for c in objectives]).distinct()
-    worse, strictly = F.lit(True), F.lit(False)
-    for c in objectives:
-        worse, strictly = worse & (F.col(f"_{c}") <= F.col(c)), strictly | (F.col(f"_{c}") < F.col(c))
-    return p.join(q, worse & strictly, "left_anti")
+    """The front of the rows, see :func:`graphtide.operators.skyline.skyline`; key names the rows and plays no part."""
+    return skyline(rows, objectives)
 
 
 def interpolated(series: DataFrame, times: DataFrame, by: list[str], t: str = "t", value: str = "value") -> DataFrame:

@@ -13,20 +13,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 DEPARTURES = "queue string, entity_id long, arr_t double, start_t double, dep_t double, dropped boolean"
 
 
-def fifo(arrivals: DataFrame) -> DataFrame:
+def fifo(arrivals: DataFrame, partitions: int | None = None) -> DataFrame:
     """Departures of arrivals (queue, entity_id, arr_t, service_t) from one server without a limit.
 
     With C the running sum of service times in order of arrival, the n-th departure is
-    C_n + max over k <= n of (arrival_k - C_{k-1}).
+    C_n + max over k <= n of (arrival_k - C_{k-1}). Both are scans over chunks of a queue, so one queue may span any
+    number of tasks.
     """
-    w = Window.partitionBy("queue").orderBy("arr_t", "entity_id").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("service_t").over(w)
-    rows = arrivals.withColumn("_c", total).withColumn("_lead", F.col("arr_t") - (F.col("_c") - F.col("service_t")))
-    rows = rows.withColumn("dep_t", F.col("_c") + F.max("_lead").over(w))
-    return rows.withColumn("start_t", F.col("dep_t") - F.col("service_t")).withColumn("wait", F.col("start_t") - F.col("arr_t")).drop("_c", "_lead")
+    order = ["arr_t", "entity_id"]
+    w = scans.within(["queue"], order)
+    local = scans.chunks(arrivals, ["queue"], order, partitions).withColumn("_c", F.sum("service_t").over(w))
+    local = local.withColumn("_lead", F.col("arr_t") - (F.col("_c") - F.col("service_t"))).withColumn("_most", F.max("_lead").over(w))
+    # Of a chunk the next one needs the sum of its services and the largest lead; a lead falls by the services before it.
+    totals = local.groupBy(scans.CHUNK, "queue").agg(F.sum("service_t").cast("double").alias("sum"), F.max("_lead").cast("double").alias("lead"))
+    carry = scans.carried(totals, ["queue"], (0.0, float("-inf")), lambda now, t: (now[0] + t[0], max(now[1], t[1] - now[0])))
+    rows = scans.with_carry(local, carry, ["queue"])
+    before, lead = F.coalesce("before_sum", F.lit(0.0)), F.coalesce("before_lead", F.lit(float("-inf")))
+    rows = rows.withColumn("dep_t", before + F.col("_c") + F.greatest(lead, F.col("_most") - before)).drop("_c", "_lead", "_most", "_tie", scans.CHUNK, "before_sum", "before_lead")
+    return rows.withColumn("start_t", F.col("dep_t") - F.col("service_t")).withColumn("wait", F.col("start_t") - F.col("arr_t"))
 
 
 def multi_server(arrivals: DataFrame, servers: int) -> DataFrame:
@@ -111,8 +120,7 @@ def length_grid(departures: DataFrame, start: float, end: float, dt: float) -> D
     moves = departures.select("queue", F.explode(F.array(F.struct(F.col("arr_t").alias("t"), F.lit(1).alias("d")), F.struct(F.col("dep_t").alias("t"), F.lit(-1).alias("d")))).alias("m")).select("queue", "m.t", "m.d", F.lit(0).alias("probe"))
     steps = int(round((end - start) / dt))
     grid = departures.select("queue").distinct().select("queue", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k")).select("queue", (F.lit(start) + F.col("k") * dt).alias("t"), F.lit(0).alias("d"), F.lit(1).alias("probe"))
-    w = Window.partitionBy("queue").orderBy("t", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    return moves.unionByName(grid).withColumn("length", F.sum("d").over(w)).where("probe = 1").select("queue", "t", "length")
+    return scans.running_sum(moves.unionByName(grid), ["queue"], ["t", "probe"], "d", "length").where("probe = 1").select("queue", "t", "length")
 
 
 def balks(departures: DataFrame, limit: int) -> DataFrame:

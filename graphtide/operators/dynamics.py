@@ -18,6 +18,8 @@ from graphtide.functions import registry
 from graphtide.functions.expressions import Call, Draws, Op, to_column, to_numpy
 from graphtide.sources.sysd import Model, System, lower
 
+from . import scans
+
 TRAJECTORY = "run_id long, step int, t double, var string, kind string, value double"
 
 
@@ -270,8 +272,11 @@ def ensemble(spark, ranges: dict[str, tuple[float, float]], n: int, kind: str =
 def bands(trajectories: DataFrame, shares: tuple[float, float] = (0.05, 0.95)) -> DataFrame:
     """(step, t, var, mean, std, low, high) over runs; std is the sample's, 0 for one run; low and high are the
     values at place int(share * n) of the sorted runs."""
-    at = lambda q: F.element_at(F.array_sort(F.collect_list("value")), F.least(F.floor(F.count(F.lit(1)) * q).cast("int") + 1, F.count(F.lit(1)).cast("int")))
-    return trajectories.groupBy("step", "t", "var").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), at(shares[0]).alias("low"), at(shares[1]).alias("high"))
+    by = ["step", "t", "var"]
+    place = lambda q: lambda n: F.least(F.floor(n * q), n - 1)
+    ends = scans.at_places(trajectories, by, "value", {"low": place(shares[0]), "high": place(shares[1])})
+    means = trajectories.groupBy(*by).agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"))
+    return means.join(ends, by, "left").select(*by, "mean", "std", "low", "high")
 
 
 def wide(trajectories: DataFrame, stocks: list[str]) -> DataFrame:
