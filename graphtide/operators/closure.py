@@ -37,20 +37,55 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """The transitive closure of (a, b): every pair connected by one edge or more.
+    """The transitive closure of (a, b): every pair connected by one edge or more. Null ends are dropped.
 
-    Paths are doubled in each round, and only pairs found in the last round are joined again, so a closure of
-    depth d takes about log2(d) rounds; cycles end because known pairs are taken out. Null ends are dropped.
+    Paths are doubled by their length. As soon as nodes are seen to reach each other they are put in one, the
+    walk starts anew on the smaller graph, and they are given back at the end; so cycles cost their pairs, not
+    the paths between them.
     """
-    known = settle(edges.select("a", "b").where("a is not null and b is not null").distinct())
-    fresh = known
+    steps = settle(edges.select("a", "b").where("a is not null and b is not null").distinct())
+    now, names = steps.where("a <> b"), None
+    while True:
+        known, cyclic = _doubled(now, most_rounds)
+        if not cyclic:
+            break
+        # Each node goes to the smallest of those that it reaches and that reach it; all that go to one node reach each other over it.
+        mutual = known.join(known.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).groupBy("a").agg(F.min("b").alias("_least"))
+        merged = settle(mutual.select(F.col("a").alias("node"), F.least("a", "_least").alias("to")))
+        if names is None:
+            names = merged.withColumnRenamed("to", "component")
+        else:
+            moved = names.join(merged.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+            names = settle(moved.union(merged.join(names, "node", "left_anti")))
+        for end in ("a", "b"):
+            now = now.join(merged.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        now = settle(now.select("a", "b").where("a <> b").distinct())
+    loops = steps.where("a = b").select("a", "b")
+    if names is None:
+        return known.union(loops)
+    members = lambda c: names.select(F.col("component").alias(c), F.col("node").alias(f"_{c}"))
+    out = known.join(members("a"), "a", "left").join(members("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    inside = names.select("component", F.col("node").alias("a")).join(names.select("component", F.col("node").alias("b")), "component").select("a", "b")
+    return settle(out.union(inside).union(loops.join(names.select(F.col("node").alias("a")), "a", "left_anti")))
+
+
+def _doubled(edges: DataFrame, most_rounds: int) -> tuple[DataFrame, bool]:
+    """The closure of edges without loops, or, as soon as a node reaches itself, the pairs found so far; and which of them it is.
+
+    With all pairs up to distance k known, those up to 2k are made of a pair and one at distance k exactly. So a
+    path is put together at few of its inner nodes, not at each, and depth d takes about log2(d) rounds.
+    """
+    known, k = settle(edges.select("a", "b", F.lit(1).alias("d"))), 1
     for _ in range(most_rounds):
-        left = fresh.select("a", F.col("b").alias("m")).join(known.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
-        right = known.select("a", F.col("b").alias("m")).join(fresh.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
-        fresh = settle(left.union(right).distinct().join(known, ["a", "b"], "left_anti"))
-        if not fresh.limit(1).count():
-            return known
-        known = settle(known.union(fresh))
+        exact = known.where(F.col("d") == k)
+        longer = known.select("a", F.col("b").alias("m"), F.col("d").alias("_d")).join(exact.select(F.col("a").alias("m"), "b"), "m")
+        found = settle(longer.groupBy("a", "b").agg((F.min("_d") + k).alias("d")).join(known.select("a", "b"), ["a", "b"], "left_anti"))
+        known, k = known.union(found), 2 * k
+        state = found.agg(F.max((F.col("a") == F.col("b")).cast("int")), F.max("d")).first()
+        if state[0]:
+            return known.select("a", "b"), True
+        if state[1] is None or state[1] < k:
+            return known.select("a", "b"), False
     raise RuntimeError(f"no fixpoint after {most_rounds} rounds")
 
 

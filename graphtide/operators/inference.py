@@ -120,13 +120,15 @@ def _closed(known: DataFrame, chain) -> DataFrame:
     both = links.select("p", F.col("s_kind").alias("kind"), F.col("s").alias("lex")).union(links.select("p", "o_kind", "o_lex"))
     nodes = settle(both.distinct().withColumn("id", F.monotonically_increasing_id()))  # paths are walked over numbers
     named = lambda kind, lex, x: nodes.select("p", F.col("kind").alias(kind), F.col("lex").alias(lex), F.col("id").alias(x))
-    far = reach(links.join(named("s_kind", "s", "a"), ["p", "s_kind", "s"]).join(named("o_kind", "o_lex", "b"), ["p", "o_kind", "o_lex"]).select("a", "b"))
-    starts = far.join(named("s_kind", "s", "a"), "a")
-    rows = starts.join(named("o_kind", "o_lex", "b").drop("p"), "b").select("s", "s_kind", "p", T.term(F.col("o_kind"), F.col("o_lex")).alias("o"))
+    direct = links.join(named("s_kind", "s", "a"), ["p", "s_kind", "s"]).join(named("o_kind", "o_lex", "b"), ["p", "o_kind", "o_lex"]).select("a", "b")
+    far = settle(reach(direct))
+    # Pairs of numbers are unique and known ones are told by number, so the long rows are neither compared nor dealt again.
+    starts = named("s_kind", "s", "a")
+    rows = far.join(direct, ["a", "b"], "left_anti").join(starts, "a").join(named("o_kind", "o_lex", "b").drop("p"), "b").select("s", "s_kind", "p", T.term(F.col("o_kind"), F.col("o_lex")).alias("o"))
     ends = facts.where("o.kind = 2").join(named("s_kind", "s", "b"), ["p", "s_kind", "s"]).select("b", "o")
-    rows = identified(rows.union(starts.join(ends, "b").select("s", "s_kind", "p", "o")))
     keys = ["s", "s_kind", "p", "_k"]
-    return rows.dropDuplicates(keys).join(identified(known).select(*keys), keys, "left_anti").drop("_k").select("s", "s_kind", "p", "o")
+    last = identified(far.join(ends, "b").join(starts, "a").select("s", "s_kind", "p", "o")).dropDuplicates(keys)
+    return rows.union(last.join(identified(facts.where("o.kind = 2")).select(*keys), keys, "left_anti").select("s", "s_kind", "p", "o"))
 
 
 def infer(graph: Graph, rules: list[Rule], most_rounds: int = 200) -> tuple[Graph, DataFrame]:
@@ -145,7 +147,7 @@ def infer(graph: Graph, rules: list[Rule], most_rounds: int = 200) -> tuple[Grap
         for c in stirred:
             more = settle(_closed(known, c))
             if more.limit(1).count():
-                known, found = settle(known.union(more)), found.union(more)
+                known, found = known.union(more), found.union(more)  # both are stored
                 fresh = known if first else fresh.union(more)
                 told |= {x for x in chains if x is not c and _stirs(more, known, x)}
                 told |= {c} if _tells(more, c) else set()
@@ -163,7 +165,7 @@ def infer(graph: Graph, rules: list[Rule], most_rounds: int = 200) -> tuple[Grap
             keys = ["s", "s_kind", "p", "_k"]
             fresh = settle(identified(made).join(identified(known).select(*keys), keys, "left_anti").drop("_k"))
             if fresh.limit(1).count():
-                known, found = settle(known.union(fresh)), found.union(fresh)
+                known, found = known.union(fresh), found.union(fresh)
                 told |= {x for x in chains if _stirs(fresh, known, x)}
             elif not told:
                 break
@@ -172,7 +174,8 @@ def infer(graph: Graph, rules: list[Rule], most_rounds: int = 200) -> tuple[Grap
         stirred = [c for c in chains if c in told]
     else:
         raise RuntimeError(f"rules without a fixpoint after {most_rounds} rounds")
-    return graph.add(found, DEFAULT), found
+    # What was found is in no graph yet and each once, so nothing needs to be compared.
+    return Graph(graph.quads.select("g", "s", "s_kind", "p", "o").unionByName(found.select(F.lit(DEFAULT).alias("g"), "s", "s_kind", "p", "o")), graph.functions), found
 
 
 def _tells(rows: DataFrame, chain) -> bool:

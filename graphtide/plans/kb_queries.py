@@ -267,7 +267,7 @@ def owl_transitive(spark, sf_dir):
     for rows, a, b in ends:
         g = g.add(rows.select(F.lit("default").alias("g"), a.alias("s"), F.lit(0).cast("tinyint").alias("s_kind"), F.lit(EX + "next").alias("p"), T.term(T.IRI, b).alias("o")).distinct())
     full, _ = infer(g, owl_rules()[2:3])
-    return full.scan(p=EX + "next").groupBy(F.expr(f"substring(s, {len(EX) + 1}, 1)").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return full.scan(p=EX + "next", g="default").groupBy(F.expr(f"substring(s, {len(EX) + 1}, 1)").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @registered(f"SELECT '{EX}n' || a.s_nationkey AS s, '{EX}n' || b.s_nationkey AS o FROM supplier a JOIN supplier b ON a.s_suppkey % 20 = b.s_suppkey % 20 GROUP BY ALL")
