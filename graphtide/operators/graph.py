@@ -20,10 +20,13 @@ DEFAULT = "default"
 
 
 class Graph:
-    """Quads with set semantics; every change gives a new Graph. functions: scalar functions for queries."""
+    """Quads with set semantics; every change gives a new Graph. functions: scalar functions for queries.
 
-    def __init__(self, quads: DataFrame, functions: dict | None = None):
-        self.quads, self.spark, self.functions = quads, quads.sparkSession, {**registry.QUERY, **(functions or {})}
+    once: the quads are known to hold each triple once over all graphs, so scans need not deduplicate.
+    """
+
+    def __init__(self, quads: DataFrame, functions: dict | None = None, once: bool = False):
+        self.quads, self.spark, self.once, self.functions = quads, quads.sparkSession, once, {**registry.QUERY, **(functions or {})}
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Graph:
@@ -63,7 +66,8 @@ class Graph:
             rows = rows.where(T.key(F.col("o")) == T.key(T.constant(o.kind, o.lex, o.dt, o.lang)))
         if graphs or g is not None:
             return rows.select("g", "s", "s_kind", "p", "o")
-        return distinct(rows.select("s", "s_kind", "p", "o")).withColumn("g", F.lit(None).cast("string"))
+        rows = rows.select("s", "s_kind", "p", "o")
+        return (rows if self.once else distinct(rows)).withColumn("g", F.lit(None).cast("string"))
 
     def count(self) -> int:
         return self.scan().count()

@@ -110,7 +110,7 @@ def _predicates(known: DataFrame, chain) -> DataFrame:
     p, told = chain
     if told is None:
         return known.sparkSession.createDataFrame([(p.lex,)], "p string")
-    return Graph(known.withColumn("g", F.lit(DEFAULT))).scan(p=told.p.lex, o=told.o).where("s_kind = 0").select(F.col("s").alias("p")).distinct()
+    return Graph(known.withColumn("g", F.lit(DEFAULT)), once=True).scan(p=told.p.lex, o=told.o).where("s_kind = 0").select(F.col("s").alias("p")).distinct()
 
 
 def _closed(known: DataFrame, chain) -> DataFrame:
@@ -138,7 +138,7 @@ def infer(graph: Graph, rules: list[Rule], most_rounds: int = 200) -> tuple[Grap
     """
     known = settle(graph.scan().select("s", "s_kind", "p", "o"))
     fresh, found = known, graph.spark.createDataFrame([], QUAD).select("s", "s_kind", "p", "o")
-    bag = lambda d: Graph(d.withColumn("g", F.lit(DEFAULT)))
+    bag = lambda d: Graph(d.withColumn("g", F.lit(DEFAULT)), once=True)
     chains = [c for c in map(_chains, rules) if c]
     steps = [r for r in rules if not _chains(r)]
     first, stirred = True, chains  # stirred: the chains whose facts or predicates may be new
