@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ def loops(edges: DataFrame, most: int = 20) -> DataFrame:
     """(nodes, negatives, kind): every simple cycle of edges (src, dst, sign) up to a length, each once.
 
     A cycle is grown from its smallest node through larger ones only. It reinforces with an even number of
-    negative edges and balances with an odd one.
+    negative edges and balances with an odd one. If longer cycles may be left, a warning says so.
     """
     step = edges.select("src", "dst", (F.col("sign") < 0).cast("int").alias("neg"))
     front = step.select(F.col("src").alias("first"), F.array("src", "dst").alias("path"), F.col("neg").alias("negatives")).where("first <= element_at(path, -1)")
@@ -66,6 +68,8 @@ def loops(edges: DataFrame, most: int = 20) -> DataFrame:
         front = settle(front.where(last != F.col("first")).join(step, last == F.col("src")).where("dst >= first and (dst = first or not array_contains(path, dst))").select("first", F.array_append("path", F.col("dst")).alias("path"), (F.col("negatives") + F.col("neg")).alias("negatives")))
         if not front.limit(1).count():
             break
+    else:
+        warnings.warn(f"cycles of more than {most} nodes were left out; give a larger length for them", stacklevel=2)
     kind = F.when(F.col("negatives") % 2 == 0, "reinforcing").otherwise("balancing")
     return done.withColumn("kind", kind)
 

@@ -7,6 +7,7 @@ the most selective patterns and never joins without a shared variable while one
 
 from __future__ import annotations
 
+import warnings
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -398,9 +399,16 @@ def ask(graph, text: str) -> bool:
     return bool(query(graph, text).first()[0])
 
 
-def bindings(rows: DataFrame, most: int = 1000) -> list[dict[str, str]]:
-    """The first solutions as dictionaries of lexical forms; unbound variables are missing."""
-    return [{n: r[n]["lex"] for n in rows.columns if r[n] is not None} for r in rows.limit(most).collect()]
+def bindings(rows: DataFrame, most: int | None = 1000) -> list[dict[str, str]]:
+    """Solutions as dictionaries of lexical forms on the driver; unbound variables are missing.
+
+    The first ``most`` come, with a warning if there are more; None brings all.
+    """
+    found = rows.collect() if most is None else rows.limit(most + 1).collect()
+    if most is not None and len(found) > most:
+        warnings.warn(f"there are more than {most} solutions; the others were left out", stacklevel=2)
+        found = found[:most]
+    return [{n: r[n]["lex"] for n in rows.columns if r[n] is not None} for r in found]
 
 
 def flat(rows: DataFrame, **columns: str) -> DataFrame:

@@ -94,3 +94,15 @@ def test_loose_joins_have_no_nested_loop(spark, small):
     for name in ("loose_join", "loose_optional", "loose_join_alone"):
         plan = C.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_bindings_tell_what_they_leave_out(spark, small):
+    import pytest
+
+    from graphtide.plans.kb_queries import EX, kb
+    from graphtide.plans.sparql import bindings, query
+
+    rows = query(kb(spark, small, "nation"), f"SELECT ?l WHERE {{ ?n <{EX}label> ?l }}")
+    assert len(bindings(rows)) == len(bindings(rows, None)) == 25
+    with pytest.warns(UserWarning, match="more than 7"):
+        assert len(bindings(rows, 7)) == 7
