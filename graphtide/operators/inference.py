@@ -131,42 +131,62 @@ def _closed(known: DataFrame, chain) -> DataFrame:
     return rows.union(last.join(identified(facts.where("o.kind = 2")).select(*keys), keys, "left_anti").select("s", "s_kind", "p", "o"))
 
 
+def _met(rows: DataFrame, names: set[str]) -> tuple[bool, set[str]]:
+    """Whether there are rows, and which of the named predicates they have; names are those that rules state."""
+    stated = F.when(F.col("p").isin(*sorted(names)), F.col("p"))
+    n, found = rows.agg(F.count(F.lit(1)), F.collect_set(stated)).first()
+    return n > 0, set(found)
+
+
 def infer(graph: Graph, rules: list[Rule], most_rounds: int = 200) -> tuple[Graph, DataFrame]:
     """The graph with all that the rules imply, and the new triples, which go to the default graph.
 
-    Rules that go on after so many rounds are an error, not a part of the result.
+    Which of the predicates that rules state by name have facts, and new ones, is known in each round, so rules and
+    patterns that can match nothing aren't evaluated. Rules that go on after so many rounds are an error, not a part of the result.
     """
     known = settle(graph.scan().select("s", "s_kind", "p", "o"))
     fresh, found = known, graph.spark.createDataFrame([], QUAD).select("s", "s_kind", "p", "o")
     bag = lambda d: Graph(d.withColumn("g", F.lit(DEFAULT)), once=True)
     chains = [c for c in map(_chains, rules) if c]
     steps = [r for r in rules if not _chains(r)]
+    names = {t.p.lex for r in rules for t in r.body if isinstance(t.p, Const)}
+    _, present = _met(known, names)  # those with facts
+    new = set(present)  # those with facts in fresh
     first, stirred = True, chains  # stirred: the chains whose facts or predicates may be new
     for _ in range(most_rounds):
         told = set()
         for c in stirred:
+            if _needs(c) not in present:
+                continue
             more = settle(_closed(known, c))
-            if more.limit(1).count():
+            some, mine = _met(more, names)
+            if some:
                 known, found = known.union(more), found.union(more)  # both are stored
                 fresh = known if first else fresh.union(more)
-                told |= {x for x in chains if x is not c and _stirs(more, known, x)}
-                told |= {c} if _tells(more, c) else set()
+                present, new = present | mine, new | mine
+                told |= {x for x in chains if x is not c and _stirs(more, mine, known, present, x)}
+                told |= {c} if _tells(mine, c) else set()
         parts = []
         for r in steps:
-            for i in range(len(r.body)):
+            if any(isinstance(t.p, Const) and t.p.lex not in present for t in r.body):
+                continue
+            for i, t in enumerate(r.body):
                 if first and i:
                     break  # in the first round everything is new
-                split = _Split(bag(known), bag(fresh), r.body[i])
+                if not first and isinstance(t.p, Const) and t.p.lex not in new:
+                    continue
+                split = _Split(bag(known), bag(fresh), t)
                 rows, _ = _DeltaCompiler(split).bgp(list(r.body))
                 parts.append(_heads(rows, r))
-        first, fresh = False, fresh.limit(0)
+        first, fresh, new = False, fresh.limit(0), set()
         if parts:
             made = distinct(reduce(DataFrame.union, parts))
             keys = ["s", "s_kind", "p", "_k"]
             fresh = settle(identified(made).join(identified(known).select(*keys), keys, "left_anti").drop("_k"))
-            if fresh.limit(1).count():
-                known, found = known.union(fresh), found.union(fresh)
-                told |= {x for x in chains if _stirs(fresh, known, x)}
+            some, new = _met(fresh, names)
+            if some:
+                known, found, present = known.union(fresh), found.union(fresh), present | new
+                told |= {x for x in chains if _stirs(fresh, new, known, present, x)}
             elif not told:
                 break
         elif not told:
@@ -178,14 +198,22 @@ def infer(graph: Graph, rules: list[Rule], most_rounds: int = 200) -> tuple[Grap
     return Graph(graph.quads.select("g", "s", "s_kind", "p", "o").unionByName(found.select(F.lit(DEFAULT).alias("g"), "s", "s_kind", "p", "o")), graph.functions), found
 
 
-def _tells(rows: DataFrame, chain) -> bool:
-    """Whether facts may make a predicate one that the chain rule closes."""
-    return chain[1] is not None and rows.where(F.col("p") == chain[1].p.lex).limit(1).count() > 0
+def _needs(chain) -> str:
+    """The predicate without facts of which a chain rule has nothing to close."""
+    p, told = chain
+    return p.lex if told is None else told.p.lex
+
+
+def _tells(met: set[str], chain) -> bool:
+    """Whether facts with these predicates may make a predicate one that the chain rule closes."""
+    return chain[1] is not None and chain[1].p.lex in met
 
 
-def _stirs(rows: DataFrame, known: DataFrame, chain) -> bool:
+def _stirs(rows: DataFrame, met: set[str], known: DataFrame, present: set[str], chain) -> bool:
     """Whether facts may give a chain rule more to close."""
-    return _tells(rows, chain) or rows.join(_predicates(known, chain), "p", "left_semi").limit(1).count() > 0
+    if chain[1] is None or _needs(chain) in met:
+        return _needs(chain) in met
+    return _needs(chain) in present and rows.join(_predicates(known, chain), "p", "left_semi").limit(1).count() > 0
 
 
 def subclasses(graph: Graph, predicate: str = T.RDFS + "subClassOf") -> DataFrame:
