@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphtide.plans import coverage_queries, kb_queries, roundtrip_queries, scale_queries, sim_queries, stream_queries
+from graphtide.plans import coverage_queries, kb_queries, lattice_queries, roundtrip_queries, scale_queries, sim_queries, stream_queries
 
-MODULES = [kb_queries, sim_queries, coverage_queries, scale_queries, stream_queries, roundtrip_queries]
+MODULES = [kb_queries, sim_queries, coverage_queries, scale_queries, stream_queries, roundtrip_queries, lattice_queries]
 
 
 def flagship(spark, sf_dir):
