@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scans import average_rank
+from .scans import average_rank, running_sum
 from .skyline import skyline
 
 
@@ -24,7 +24,7 @@ def deviations(finals: DataFrame, baseline: int, relative: bool = True) -> DataF
     base = finals.where(F.col("run_id") == baseline).select("var", F.col("value").alias("base"))
     diff = F.col("value") - F.col("base")
     out = F.when(F.abs("base") > 1e-12, diff / F.abs("base")).otherwise(diff) if relative else diff
-    return finals.join(F.broadcast(base), "var").select("run_id", "var", "value", "base", out.alias("deviation"))
+    return finals.join(base, "var").select("run_id", "var", "value", "base", out.alias("deviation"))
 
 
 def tornado(outputs: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def rank_scenarios(scores: DataFrame, how: str = "mean") -> DataFrame:
     """(scenario, score, rank) of scores (scenario, query, score); the best first."""
     f = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum}[how]
     out = scores.groupBy("scenario").agg(f("score").alias("score"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "scenario")))
+    ranked = running_sum(out.withColumn("_one", F.lit(1)), [], [F.desc("score"), F.col("scenario")], "_one", "rank")
+    return ranked.select("scenario", "score", F.col("rank").cast("int").alias("rank"))
 
 
 # ---------------------------------------------------------------- samples
@@ -188,10 +189,13 @@ def interpolated(series: DataFrame, times: DataFrame, by: list[str], t: str = "t
 
 
 def errors(simulated: DataFrame, observed: DataFrame) -> DataFrame:
-    """(run_id, sse, mae, max_error) of trajectories (run_id, var, t, value) against observations (var, t, value)."""
-    runs = simulated.select("run_id").distinct()
-    at = interpolated(simulated, runs.crossJoin(F.broadcast(observed.select("var", "t"))), ["run_id", "var"])
-    both = at.join(F.broadcast(observed.select("var", "t", F.col("value").alias("seen"))), ["var", "t"])
+    """(run_id, sse, mae, max_error) of trajectories (run_id, var, t, value) against observations (var, t, value).
+
+    A run counts for the observed variables that it has; one that has none has no row.
+    """
+    asked = simulated.select("run_id", "var").distinct().join(observed.select("var", "t"), "var")
+    at = interpolated(simulated, asked, ["run_id", "var"])
+    both = at.join(observed.select("var", "t", F.col("value").alias("seen")), ["var", "t"])
     d = F.col("value") - F.col("seen")
     return both.groupBy("run_id").agg(F.sum(d * d).alias("sse"), F.avg(F.abs(d)).alias("mae"), F.max(F.abs(d)).alias("max_error"))
 

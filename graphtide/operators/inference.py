@@ -295,7 +295,7 @@ class Lattice:
         """Edges (source_type, target_type, needs_source, needs_target) with ``valid``: both ends' types have the
         property asked for, or nothing is asked for."""
         props = self.types.select("name", "properties")
-        e = edges.join(F.broadcast(props.select(F.col("name").alias("source_type"), F.col("properties").alias("ps"))), "source_type", "left").join(F.broadcast(props.select(F.col("name").alias("target_type"), F.col("properties").alias("pt"))), "target_type", "left")
+        e = edges.join(props.select(F.col("name").alias("source_type"), F.col("properties").alias("ps")), "source_type", "left").join(props.select(F.col("name").alias("target_type"), F.col("properties").alias("pt")), "target_type", "left")
         has = lambda p, need: F.col(need).isNull() | F.coalesce(F.element_at(F.col(p), F.col(need)), F.lit(False))
         return e.withColumn("valid", has("ps", "needs_source") & has("pt", "needs_target")).drop("ps", "pt")
 

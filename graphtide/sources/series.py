@@ -67,4 +67,5 @@ def merge(tables: list[DataFrame]) -> DataFrame:
 
 
 def export(wide: DataFrame, path: str) -> None:
-    wide.orderBy("time").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """CSV files with headers, in ranges of time: the files' order by name is that of time."""
+    wide.orderBy("time").write.mode("overwrite").option("header", True).csv(path)
