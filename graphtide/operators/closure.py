@@ -31,9 +31,18 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage, in the session's checkpoint folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Computes df once and cuts its lineage: it is written as a table in the shared folder and read from there.
+
+    Later reads take only the columns that they need, and joins know the table's size. What Parquet cannot hold (no
+    columns, names that differ only by case, columns without a type) goes to the session's checkpoint folder.
+    """
+    names = {c.lower() for c in df.columns}
+    if not names or len(names) < len(df.columns) or "void" in df.schema.simpleString():
+        shared_dir(df.sparkSession)
+        return df.checkpoint()
+    folder = scratch_dir(df.sparkSession, "settled")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def reach(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -79,7 +88,8 @@ def _doubled(edges: DataFrame, most_rounds: int) -> tuple[DataFrame, bool]:
     for _ in range(most_rounds):
         exact = known.where(F.col("d") == k)
         longer = known.select("a", F.col("b").alias("m"), F.col("d").alias("_d")).join(exact.select(F.col("a").alias("m"), "b"), "m")
-        found = settle(longer.groupBy("a", "b").agg((F.min("_d") + k).alias("d")).join(known.select("a", "b"), ["a", "b"], "left_anti"))
+        # Known pairs are at k at most and new ones above, so one grouping by pair tells them apart, without a join of both.
+        found = settle(known.unionByName(longer.select("a", "b", (F.col("_d") + k).alias("d"))).groupBy("a", "b").agg(F.min("d").alias("d")).where(F.col("d") > k))
         known, k = known.union(found), 2 * k
         state = found.agg(F.max((F.col("a") == F.col("b")).cast("int")), F.max("d")).first()
         if state[0]:

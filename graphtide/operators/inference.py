@@ -120,8 +120,8 @@ def _closed(known: DataFrame, chain) -> DataFrame:
     both = links.select("p", F.col("s_kind").alias("kind"), F.col("s").alias("lex")).union(links.select("p", "o_kind", "o_lex"))
     nodes = settle(both.distinct().withColumn("id", F.monotonically_increasing_id()))  # paths are walked over numbers
     named = lambda kind, lex, x: nodes.select("p", F.col("kind").alias(kind), F.col("lex").alias(lex), F.col("id").alias(x))
-    direct = links.join(named("s_kind", "s", "a"), ["p", "s_kind", "s"]).join(named("o_kind", "o_lex", "b"), ["p", "o_kind", "o_lex"]).select("a", "b")
-    far = settle(reach(direct))
+    direct = settle(links.join(named("s_kind", "s", "a"), ["p", "s_kind", "s"]).join(named("o_kind", "o_lex", "b"), ["p", "o_kind", "o_lex"]).select("a", "b"))
+    far = reach(direct)  # its parts are stored
     # Pairs of numbers are unique and known ones are told by number, so the long rows are neither compared nor dealt again.
     starts = named("s_kind", "s", "a")
     rows = far.join(direct, ["a", "b"], "left_anti").join(starts, "a").join(named("o_kind", "o_lex", "b").drop("p"), "b").select("s", "s_kind", "p", T.term(F.col("o_kind"), F.col("o_lex")).alias("o"))
