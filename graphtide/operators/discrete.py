@@ -1,21 +1,150 @@
 """Discrete-event operators: queues, resources and their metrics over tables of arrivals.
 
 A single-server first-come queue has a closed form in two running windows; several servers are folded over the
-sorted arrivals of a queue; finite capacity and other disciplines run as an event loop, a queue to a task.
+sorted arrivals of a queue; finite capacity and other disciplines run as an event loop, a queue to a task. Folds
+and loops read a queue's rows in order and give them out as they are done, so no queue is held whole.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
-from collections.abc import Callable
+import tempfile
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scans
 
 DEPARTURES = "queue string, entity_id long, arr_t double, start_t double, dep_t double, dropped boolean"
+#: Waiting rows that a loop holds in memory; more are put aside in sorted runs on the worker's disk.
+HELD = 200_000
+_ROWS = 10_000
+
+
+class _Waiting:
+    """Rows (key, order, values...), all numbers, of which the smallest leaves first; few of them are in memory.
+
+    Rows below a limit are in a heap. The others are put aside as they come, in sorted runs on the worker's disk, and
+    the next of them are taken from the runs once the heap is empty.
+    """
+
+    def __init__(self):
+        self.near: list[tuple] = []
+        self.late: list[tuple] = []
+        self.limit: tuple | None = None
+        self.runs: list[list] = []  # file, kinds, rows, rows taken
+        self.size = 0
+
+    def push(self, row: tuple) -> None:
+        self.size += 1
+        if self.limit is None or row < self.limit:
+            heapq.heappush(self.near, row)
+            if len(self.near) > HELD:
+                self.near.sort()
+                self.limit = self.near[HELD // 2]
+                self.late += self.near[HELD // 2 :]
+                del self.near[HELD // 2 :]
+        else:
+            self.late.append(row)
+        if len(self.late) >= HELD:
+            self._put_aside()
+
+    def first(self) -> tuple:
+        if not self.near:
+            self._take()
+        return self.near[0]
+
+    def pop(self) -> tuple:
+        if not self.near:
+            self._take()
+        self.size -= 1
+        return heapq.heappop(self.near)
+
+    def _put_aside(self) -> None:
+        columns = [np.array(c, np.int64 if all(isinstance(x, int) for x in c) else np.float64) for c in zip(*self.late, strict=True)]
+        order, n = np.lexsort(columns[::-1]), len(self.late)
+        file = tempfile.TemporaryFile()  # noqa: SIM115
+        for c in columns:
+            c[order].tofile(file)
+        self.runs.append([file, [c.dtype for c in columns], n, 0])
+        self.late = []
+
+    @staticmethod
+    def _read(run: list, most: int) -> list[tuple]:
+        file, kinds, n, at = run
+        part = []
+        for i, kind in enumerate(kinds):
+            file.seek((i * n + at) * 8)
+            part.append(np.frombuffer(file.read(min(most, n - at) * 8), kind).tolist())
+        return list(zip(*part, strict=True))
+
+    def _take(self) -> None:
+        """Moves the next rows of the runs to the heap: those that no unread row can precede."""
+        if self.late and not self.runs:
+            self.near, self.late, self.limit = sorted(self.late), [], None
+            return
+        if self.late:
+            self._put_aside()
+        blocks = [self._read(run, max(1000, HELD // len(self.runs))) for run in self.runs]
+        open_ = [block[-1] for block, run in zip(blocks, self.runs, strict=True) if run[3] + len(block) < run[2]]
+        bound, taken, left, rest = min(open_, default=None), [], [], []
+        for block, run in zip(blocks, self.runs, strict=True):
+            k = len(block) if bound is None else bisect.bisect_right(block, bound)
+            taken += block[:k]
+            run[3] += k
+            if run[3] < run[2]:
+                left.append(block[k] if k < len(block) else self._read(run, 1)[0])
+                rest.append(run)
+            else:
+                run[0].close()
+        taken.sort()
+        self.near, self.runs, self.limit = taken, rest, min(left, default=None)
+
+
+def _in_order(rows: DataFrame, group: str, order: list[str], values: list[str], begin: Callable, schema: str) -> DataFrame:
+    """Runs a loop over the rows of each group, in order, and gives what it lets out.
+
+    begin(name, out) gives the functions for a row's values and for the end; they append rows without the group to
+    out, and give an iterator whose steps let these go. A task reads batches of the sorted rows and writes batches, whatever the size of a group.
+    """
+    kinds = [f.split() for f in schema.split(", ")]
+    types = [{"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[k] for _, k in kinds]
+
+    def told(name, out: list[tuple]) -> pa.RecordBatch:
+        columns = [[name] * len(out), *zip(*out, strict=True)]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [n for n, _ in kinds])
+        out.clear()
+        return batch
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, name, each, end = [], None, None, tuple
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if each is None or row[0] != name:
+                    for _ in end():
+                        if len(out) >= _ROWS:
+                            yield told(name, out)
+                    if out:
+                        yield told(name, out)
+                    name = row[0]
+                    each, end = begin(name, out)
+                for _ in each(*row[1:]):
+                    if len(out) >= _ROWS:
+                        yield told(name, out)
+                if len(out) >= _ROWS:
+                    yield told(name, out)
+        for _ in end():
+            if len(out) >= _ROWS:
+                yield told(name, out)
+        if out:
+            yield told(name, out)
+
+    keys = [F.asc(group), *[F.asc_nulls_last(c) for c in order]]
+    return rows.select(group, *values).repartition(group).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def fifo(arrivals: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -41,21 +170,25 @@ def fifo(arrivals: DataFrame, partitions: int | None = None) -> DataFrame:
 def multi_server(arrivals: DataFrame, servers: int) -> DataFrame:
     """Departures with several servers, first come first served: each arrival takes the server that is free first.
 
-    The state of the fold is the sorted array of the servers' free times; a queue's arrivals are one array.
+    The state of the fold is the heap of the servers' free times. Rows without a time of arrival or service are not served.
     """
-    items = F.array_sort(F.collect_list(F.struct("arr_t", "entity_id", "service_t")))
-    grouped = arrivals.groupBy("queue").agg(items.alias("items"))
-    none = F.array().cast("array<struct<entity_id:bigint,arr_t:double,start_t:double,dep_t:double>>")
-    begin = F.struct(F.array_repeat(F.lit(float("-inf")), servers).alias("free"), none.alias("out"))
 
-    def step(acc, x):
-        start = F.greatest(x["arr_t"], F.element_at(acc["free"], 1))
-        dep = start + x["service_t"]
-        free = F.array_sort(F.array_append(F.slice(acc["free"], 2, servers), dep))
-        done = F.struct(x["entity_id"].cast("long").alias("entity_id"), x["arr_t"].alias("arr_t"), start.alias("start_t"), dep.alias("dep_t"))
-        return F.struct(F.slice(free, 1, servers).alias("free"), F.array_append(acc["out"], done).alias("out"))
+    def begin(name, out):
+        free = [float("-inf")] * servers
+
+        def each(arr, entity, service):
+            if arr is None or service is None:
+                out.append((entity, arr, None, None))
+                return ()
+            start = max(arr, free[0])
+            heapq.heapreplace(free, start + service)
+            out.append((entity, arr, start, start + service))
+            return ()
 
-    return grouped.select("queue", F.explode(F.aggregate("items", begin, step)["out"]).alias("x")).select("queue", "x.*")
+        return each, tuple
+
+    rows = arrivals.select("queue", *[F.col(c).cast(t).alias(c) for c, t in (("arr_t", "double"), ("entity_id", "long"), ("service_t", "double"))])
+    return _in_order(rows, "queue", ["arr_t", "entity_id"], ["arr_t", "entity_id", "service_t"], begin, DEPARTURES.removesuffix(", dropped boolean"))
 
 
 def queue_loop(arrivals: DataFrame, servers: int = 1, capacity: int | None = None, discipline: str = "FIFO", patience: float | None = None) -> DataFrame:
@@ -66,53 +199,53 @@ def queue_loop(arrivals: DataFrame, servers: int = 1, capacity: int | None = Non
         raise ValueError(discipline)
     entered, left = HOOKS.get("enqueue", []), HOOKS.get("dequeue", [])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["arr_t", "entity_id"])
-        due = pdf["due_date"].fillna(float("inf")) if "due_date" in pdf else pd.Series(float("inf"), index=pdf.index)
-        name = pdf["queue"].iloc[0]
-        waiting, busy, out = [], [], []  # heaps of (key, order, arrival, service, id) and of (departure, order)
+    def begin(name, out):
+        waiting, busy = _Waiting(), []  # rows (key, order, arrival, service, id), and a heap of departures
+        clock, count = float("-inf"), 0
 
-        def serve(until: float) -> None:
+        def serve(until: float) -> Iterator[None]:
             """Lets servers that are free by then take who waits."""
+            nonlocal clock
             while True:
-                now = None
-                if len(busy) < servers and waiting:
-                    now = clock[0]
-                elif busy and busy[0][0] <= until:
-                    clock[0] = max(clock[0], heapq.heappop(busy)[0])
-                    continue
-                if now is None:
+                if len(busy) < servers and waiting.size:
+                    _, _, arr, service, entity = waiting.pop()
+                    start = max(clock, arr)
+                    if patience is not None and start - arr > patience:
+                        out.append((entity, arr, None, arr + patience, True))
+                    else:
+                        out.append((entity, arr, start, start + service, False))
+                        for f in left:
+                            f(name, entity, start + service)
+                        heapq.heappush(busy, start + service)
+                    yield
+                elif busy and busy[0] <= until:
+                    clock = max(clock, heapq.heappop(busy))
+                else:
                     return
-                _, order, arr, service, entity = heapq.heappop(waiting)
-                start = max(now, arr)
-                if patience is not None and start - arr > patience:
-                    out.append((entity, arr, None, arr + patience, True))
-                    continue
-                out.append((entity, arr, start, start + service, False))
-                for f in left:
-                    f(name, entity, start + service)
-                heapq.heappush(busy, (start + service, order))
-
-        clock = [float("-inf")]
-        for order, (arr, service, entity, d) in enumerate(zip(pdf["arr_t"], pdf["service_t"], pdf["entity_id"], due, strict=True)):
-            serve(arr)
-            clock[0] = max(clock[0], arr)
-            if capacity is not None and len(waiting) + len(busy) >= capacity:
+
+        def each(arr, entity, service, due):
+            nonlocal clock, count
+            order, count = count, count + 1
+            if busy and busy[0] <= arr:
+                yield from serve(arr)
+            clock = max(clock, arr)
+            if capacity is not None and waiting.size + len(busy) >= capacity:
                 out.append((entity, arr, None, None, True))
                 for f in entered:
                     f(name, entity, arr, False)
-                continue
+                return
             for f in entered:
                 f(name, entity, arr, True)
-            key = {"FIFO": order, "SPT": service, "EDD": d}[discipline]
-            heapq.heappush(waiting, (key, order, arr, service, entity))
-            serve(arr)
-        serve(float("inf"))
-        done = pd.DataFrame(out, columns=["entity_id", "arr_t", "start_t", "dep_t", "dropped"])
-        done.insert(0, "queue", pdf["queue"].iloc[0])
-        return done.astype({"entity_id": "int64", "start_t": "float64", "dep_t": "float64"})
+            waiting.push((order if discipline == "FIFO" else service if discipline == "SPT" else due, order, arr, service, entity))
+            if len(busy) < servers:
+                yield from serve(arr)
+
+        return each, lambda: serve(float("inf"))
 
-    return arrivals.groupBy("queue").applyInPandas(run, DEPARTURES)
+    number = lambda c, none: F.coalesce(F.col(c).cast("double"), F.lit(none))
+    due = number("due_date", float("inf")) if "due_date" in arrivals.columns else F.lit(float("inf"))
+    rows = arrivals.select("queue", number("arr_t", float("nan")).alias("arr_t"), F.col("entity_id").cast("long").alias("entity_id"), number("service_t", float("nan")).alias("service_t"), due.alias("due_date"))
+    return _in_order(rows, "queue", ["arr_t", "entity_id"], ["arr_t", "entity_id", "service_t", "due_date"], begin, DEPARTURES)
 
 
 def length_grid(departures: DataFrame, start: float, end: float, dt: float) -> DataFrame:
@@ -166,41 +299,45 @@ def resource_loop(requests: DataFrame, capacity: float) -> DataFrame:
     by priority, then time, until what is held is given back."""
     before, after, back = (HOOKS.get(e, []) for e in ("pre_request", "post_request", "release"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, free, waiting, held, out = pdf["resource"].iloc[0], capacity, [], [], []
+    def begin(name, out):
+        free, waiting, held = capacity, _Waiting(), []
 
-        def give(now: float) -> None:
+        def give(now: float) -> Iterator[None]:
             nonlocal free
-            while waiting and waiting[0][3] <= free:
-                _, _, k, quantity, asked, hold = heapq.heappop(waiting)
+            while waiting.size and waiting.first()[3] <= free:
+                _, asked, k, quantity, hold = waiting.pop()
                 free -= quantity
                 heapq.heappush(held, (now + hold, k, quantity))
                 out.append((k, asked, now, now + hold))
                 for f in after:
                     f(name, k, now, quantity)
+                yield
 
-        def release() -> None:
+        def release() -> Iterator[None]:
             nonlocal free
             at, k, quantity = heapq.heappop(held)
             free += quantity
             for f in back:
                 f(name, k, at)
-            give(at)
+            yield from give(at)
 
-        for r in pdf.sort_values(["t", "request_id"]).itertuples():
-            while held and held[0][0] <= r.t:
-                release()
+        def each(t, request, quantity, priority, hold):
+            while held and held[0][0] <= t:
+                yield from release()
             for f in before:
-                f(name, r.request_id, r.t, r.quantity)
-            heapq.heappush(waiting, (r.priority, r.t, r.request_id, r.quantity, r.t, r.hold))
-            give(r.t)
-        while held:
-            release()
-        done = pd.DataFrame(out, columns=["request_id", "t", "granted_t", "released_t"])
-        done.insert(0, "resource", pdf["resource"].iloc[0])
-        return done
-
-    return requests.groupBy("resource").applyInPandas(run, "resource string, request_id long, t double, granted_t double, released_t double")
+                f(name, request, t, quantity)
+            waiting.push((priority, t, request, quantity, hold))
+            yield from give(t)
+
+        def end():
+            while held:
+                yield from release()
+
+        return each, end
+
+    values = ["t", "request_id", "quantity", "priority", "hold"]
+    rows = requests.select("resource", *[F.col(c).cast("long" if c == "request_id" else "double").alias(c) for c in values])
+    return _in_order(rows, "resource", ["t", "request_id"], values, begin, "resource string, request_id long, t double, granted_t double, released_t double")
 
 
 def resource_cost(samples: DataFrame, capacity: float, cost: float) -> DataFrame:
