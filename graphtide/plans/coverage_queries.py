@@ -232,8 +232,14 @@ def des_capacity(spark, sf_dir):
 @registered(f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY arr_t) AS n FROM ({_DUE})), f AS (SELECT queue, entity_id, n, CASE WHEN n = 1 THEN 1 ELSE 1 + row_number() OVER (PARTITION BY queue, n = 1 ORDER BY service_t) END AS place FROM e)
  SELECT queue, entity_id, place FROM f""")
 def des_spt_order(spark, sf_dir):
-    """Shortest service first: all arrive while the first is served, and the last to arrive are the shortest."""
-    out = Q.queue_loop(_slow(spark, sf_dir).withColumn("service_t", F.lit(1000000.0) - F.col("entity_id")), discipline="SPT")
+    """Shortest service first: all arrive while the first is served, and the last to arrive are the shortest.
+
+    Services last a million less the number, or, where numbers are so high that later ones would come after the
+    first service, as much more for each as lets all come before; that leaves their order as it is.
+    """
+    jobs = _slow(spark, sf_dir)
+    last = jobs.agg(F.max("arr_t")).first()[0] or 0.0
+    out = Q.queue_loop(jobs.withColumn("service_t", F.lit(max(1000000.0, 2 * last)) - F.col("entity_id")), discipline="SPT")
     return out.select("queue", "entity_id", F.row_number().over(Window.partitionBy("queue").orderBy("start_t")).cast("long").alias("place"))
 
 
