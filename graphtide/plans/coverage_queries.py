@@ -13,7 +13,7 @@ from graphtide.operators import discrete as Q
 from graphtide.operators import dynamics as D
 from graphtide.operators import optimise as O
 from graphtide.operators import rules as R
-from graphtide.operators.closure import scratch_dir
+from graphtide.operators.closure import scratch_dir, settle
 from graphtide.operators.graph import Graph
 from graphtide.operators.inference import InferredGraph, infer, rdfs_rules
 from graphtide.operators.stored import StoredGraph
@@ -179,9 +179,9 @@ def sd_random(spark, sf_dir):
     m = parse_sysd("dt 1\nfrom 0 to 1\naux a: NOISE(2)\naux b: UNIFORM(3, 4)\naux c: LOGNORMAL(0, 1)\nstock L: 0\n  + z: 0 * a\n")
     runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"))
     out = D.simulate(m, runs, auxes=True, last=True).groupBy("run_id").agg(*[F.max(F.when(F.col("var") == n, F.col("value"))).alias(n) for n in "abc"])
-    w = Window.partitionBy(F.lit(1))
-    many = F.size(F.collect_set("b").over(w)) > 1
-    return out.select("run_id", (F.abs("a") <= 2).alias("noise"), (F.col("b").between(3, 4) & many).alias("uniform"), (F.col("c") > 0).alias("lognormal"))
+    out = settle(out)
+    many = F.broadcast(out.agg(F.coalesce(F.min("b") < F.max("b"), F.lit(False)).alias("many")))
+    return out.crossJoin(many).select("run_id", (F.abs("a") <= 2).alias("noise"), (F.col("b").between(3, 4) & F.col("many")).alias("uniform"), (F.col("c") > 0).alias("lognormal"))
 
 
 @registered("""SELECT c_custkey AS run_id, round(c_nationkey + (5.0 - c_nationkey) * pow(0.5, 10), 4) AS smooth FROM customer""")

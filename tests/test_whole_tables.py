@@ -1,5 +1,6 @@
 """Every row of the table reaches the operator."""
 
+from graphtide.operators import agents as A
 from graphtide.plans import registry
 
 
@@ -20,3 +21,16 @@ def test_every_event(spark, small):
     n = spark.read.parquet(f"{small}/events.parquet").count()
     assert sum(r.n for r in run(spark, small, "des_multi_server").collect()) == n
     assert run(spark, small, "des_edd_order").count() == n - 1
+
+
+def test_no_window_holds_all_runs(spark, small):
+    plan = run(spark, small, "sd_random")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "collect_set" not in plan
+
+
+def test_mail_is_counted_without_a_row_for_each_receiver(spark, small):
+    """The counts equal those of the rows delivered, with a sender that sends twice and a type that nobody has."""
+    agents = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "type string, inst long")
+    mail = spark.createDataFrame([(1, "a", "x", {}), (1, "a", "x", {"k": "v"}), (2, "a", "y", {}), (3, "b", "x", {}), (3, "none", "x", {})], "sender long, target_type string, topic string, payload map<string,string>")
+    rows = A.deliver(mail, agents).groupBy("type", "sender", "topic").count()
+    assert sorted(map(tuple, A.delivered(mail, agents).collect())) == sorted(map(tuple, rows.collect()))
