@@ -142,6 +142,14 @@ def deliver(messages: DataFrame, agents: DataFrame) -> DataFrame:
     return messages.join(agents.select("type", "inst"), messages["target_type"] == agents["type"]).select("type", "inst", "topic", "sender", "payload")
 
 
+def delivered(messages: DataFrame, agents: DataFrame) -> DataFrame:
+    """(type, sender, topic, n): how many of :func:`deliver`'s rows a sender's messages on a topic make, told from
+    the number of agents of each type, without a row for each receiver."""
+    sent = messages.groupBy("target_type", "sender", "topic").agg(F.count(F.lit(1)).alias("_sent"))
+    there = agents.groupBy("type").agg(F.count(F.lit(1)).alias("_there"))
+    return sent.join(F.broadcast(there), F.col("target_type") == F.col("type")).select("type", "sender", "topic", (F.col("_sent") * F.col("_there")).alias("n"))
+
+
 def aged(mail: DataFrame) -> DataFrame:
     """Mail after a step: each message's time to live (ttl) is one less, and those at 0 are gone."""
     return mail.withColumn("ttl", F.col("ttl") - 1).where("ttl > 0")
