@@ -166,18 +166,23 @@ class Compiler:
                 split = [x for bound, part in split for x in ((bound | {v}, part.where(there)), (bound, part.where(~there)))]
             return split
 
+        def having(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+            """A join on there being any row on the right."""
+            some = right.limit(1).select(F.lit(0).alias("_r_some"))  # one row at most, so small enough to send
+            return left.withColumn("_some", (F.rand(0) < 0).cast("int")).join(F.broadcast(some), F.col("_some") == F.col("_r_some"), how).drop("_some", "_r_some")
+
         def met(left: DataFrame, right: DataFrame, both: set[str], how: str) -> DataFrame:
             conditions = [T.key(F.col(v)) == T.key(F.col(f"_r_{v}")) for v in sorted(both)] + ([] if extra is None else [extra(right)])
             if both:
                 return left.join(right, reduce(Column.__and__, conditions), how)
             if how == "inner":
-                left = left.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+                left = having(left, right, "inner").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
                 right = right.withColumn("_r_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-                return left.join(right, reduce(Column.__and__, conditions, F.col("_salt") == F.col("_r_salt"))).drop("_salt", "_r_salt")
+                # What is repeated is larger than Spark knows from its files, so neither side may be sent whole.
+                return left.join(right.hint("merge"), reduce(Column.__and__, conditions, F.col("_salt") == F.col("_r_salt"))).drop("_salt", "_r_salt")
             if extra is not None:  # any row of the right may satisfy the condition
                 return left.join(right, conditions[0], how)
-            some = right.limit(1).select(F.lit(0).alias("_r_some"))  # one row at most, so small enough to send
-            return left.withColumn("_some", (F.rand(0) < 0).cast("int")).join(F.broadcast(some), F.col("_some") == F.col("_r_some"), how).drop("_some")
+            return having(left, right, how)
 
         left, right = parts(a, loose_a, ""), parts(b, loose_b, "_r_")
         new = [c for c in b.columns if not c.startswith("_r_")]

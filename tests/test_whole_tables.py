@@ -34,3 +34,9 @@ def test_mail_is_counted_without_a_row_for_each_receiver(spark, small):
     mail = spark.createDataFrame([(1, "a", "x", {}), (1, "a", "x", {"k": "v"}), (2, "a", "y", {}), (3, "b", "x", {}), (3, "none", "x", {})], "sender long, target_type string, topic string, payload map<string,string>")
     rows = A.deliver(mail, agents).groupBy("type", "sender", "topic").count()
     assert sorted(map(tuple, A.delivered(mail, agents).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_repeated_rows_are_not_sent_whole(spark, small):
+    """Rows repeated for each salt may be many times what their file's size lets expect."""
+    plan = run(spark, small, "subquery")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_salt" in plan and "BroadcastHashJoin [_salt" not in plan
