@@ -11,8 +11,9 @@ trained by gradient descent, in each task on every block of every training text,
 
 Words that are not frequent are counted over all training texts in a shuffle by word, so what is known of
 words grows with the corpus. They get their counts, each less DISCOUNT, over all training tokens; what that
-leaves is shared as the attention has it, for all words. All word sequences together have a probability of
-one at most, but for the error of an estimate of how many such words there are (taken 3 % low for it).
+leaves is shared as the attention has it, for all words. A last head attends to all earlier
+words of the text alike and gives each of them again: its share grows from none at a text's first word to COPY.
+All word sequences together have a probability of one at most, but for the error of an estimate of how many such words there are (taken 3 % low for it).
 
 Ids are taken by frequency: the most frequent ``CLASSES - 1`` stand for themselves, the others share a class
 and are told apart by their overall frequencies.
@@ -40,6 +41,7 @@ HOT_WORDS, HOT_SAMPLE = 1 << 17, 6_000
 #: Tokens that a distribution counts from the one behind it: after an id, and after a word's beginning.
 PRIOR, PREFIX_PRIOR = 10.0, 1.0
 DISCOUNT = 0.75  # of the count of a word that is not frequent, left to its spelling
+COPY, COPY_FROM = 0.15, 20.0  # share of the words before in a long text, and the words after which it is half of that
 REGISTERS = 14  # bits of the register number in estimates of distinct words, whose standard error is 0.8 %
 START = 1 << 15  # flag of a word's first id
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -216,36 +218,52 @@ def _second_pass(shipped):
     return run
 
 
+def _copied(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word, given by hash and text, in order: log10 of what is left to the other heads, and the probability
+    that a word before it in its text is given again."""
+    n, at = len(h), np.arange(len(h))
+    place = at - np.searchsorted(text, text)
+    order = np.lexsort((at, h, text))
+    new = np.ones(n, bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])
+    earlier = np.empty(n, np.int64)
+    earlier[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    share = COPY * place / (place + COPY_FROM)
+    return np.log10(1 - share), share * earlier / np.maximum(place, 1)
+
+
 def _tail(kept: float, tokens: int):
-    """Rows (word, text, log) sorted by word -> for each text the sum over its words of log10(count + 1), how many
+    """Rows (word, text, log and, if there is a copying head, left, copied) sorted by word -> for each text the sum over its words of log10(count + 1), how many
     are known, how many known words were first met with it (so that these add up to distinct words), and the
-    log10 probability of its words: kept times what the attention gives, with the word's share of the tokens."""
+    log10 probability of its words: kept times what the attention gives, with the word's share of the tokens, and
+    the copying head's part."""
 
-    def told(w, t, log):
+    def told(w, t, log, left=np.float64(0), copied=np.float64(0)):
         new = np.concatenate(([True], w[1:] != w[:-1]))
         starts = np.flatnonzero(new)
         c = np.add.reduceat(t & 1, starts)
         per = np.repeat(c, np.diff(np.append(starts, len(w))))
         with np.errstate(divide="ignore"):
             share = np.log(np.maximum(per - DISCOUNT, 0) / max(tokens, 1))
-            mixed = np.logaddexp(np.log(10) * log.astype(np.float64) + np.log(kept), share) / np.log(10)
+            mixed = np.logaddexp(np.log(10) * log.astype(np.float64) + np.log(kept), share) + np.log(10) * left.astype(np.float64)
+            mixed = np.logaddexp(mixed, np.log(copied.astype(np.float64))) / np.log(10)
         columns = [t >> 1, np.log10(per + 1.0), (per > 0).astype(np.int64), (new & (per > 0)).astype(np.int64), mixed]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["rid", "logs", "known", "fresh", "mixed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # parts of the last word's rows
         for batch in batches:
-            part = [batch.column(i).to_numpy() for i in range(3)]
+            part = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
             if not len(part[0]):
                 continue
             if held and held[0][0][0] == part[0][-1]:
                 held.append(part)
                 continue
-            w, t, log = (np.concatenate(x) for x in zip(*held, part, strict=True))
-            last = int(np.searchsorted(w, w[-1]))
-            held = [[w[last:], t[last:], log[last:]]]
+            rows = [np.concatenate(x) for x in zip(*held, part, strict=True)]
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            held = [[x[last:] for x in rows]]
             if last:
-                yield told(w[:last], t[:last], log[:last])
+                yield told(*(x[:last] for x in rows))
         if held:
             yield told(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -458,22 +476,26 @@ def _score(shipped, counted, kept: float, blocks: int = 1024):
             owner = np.searchsorted(starts, ends[:-1])
             found = where >= 0
             known = (found & (counts[where] > 0)).astype(np.int64)
-            own = np.where(found, by_word + less, 0.0)
+            text = np.repeat(np.arange(n), np.diff(np.append(owner, len(starts))))
+            left, copied = _copied(h, text)
+            with np.errstate(divide="ignore"):
+                own = np.where(found, np.logaddexp(np.log(10) * (by_word + less + left), np.log(copied)) / np.log(10), 0.0)
             empty = pa.array([[]] * n, pa.list_(pa.int64()))
+            none = empty.cast(pa.list_(pa.float32()))
             sums = [pa.array(np.add.reduceat(x, owner)) for x in (np.where(found, logs[where], 0.0), known, own)]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("held_out"), batch.column("n_tokens"), *sums, empty, empty, empty.cast(pa.list_(pa.float32()))], _SCORED)
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("held_out"), batch.column("n_tokens"), *sums, empty, empty, none, none, none], _SCORED)
             tail = ~found
             if tail.any():
-                text = np.repeat(np.arange(n), np.diff(np.append(owner, len(starts))))[tail]
+                text = text[tail]
                 train = ~np.array(batch.column("held_out").to_pylist(), bool)
-                lists = (h[tail].view(np.int64), batch.column("rid").to_numpy()[text] * 2 + train[text], by_word[tail].astype(np.float32))
+                lists = (h[tail].view(np.int64), batch.column("rid").to_numpy()[text] * 2 + train[text], *[x[tail].astype(np.float32) for x in (by_word, left, copied)])
                 nulls = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.int64(), pa.float64())]
                 yield pa.RecordBatch.from_arrays([*nulls, *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in lists]], _SCORED)
 
     return run
 
 
-_SCORED = ["rid", "doc_id", "held_out", "n_tokens", "hot_logs", "hot_known", "hot_score", "words", "texts", "given"]
+_SCORED = ["rid", "doc_id", "held_out", "n_tokens", "hot_logs", "hot_known", "hot_score", "words", "texts", "given", "left", "copied"]
 
 
 def _distributions(ids_n: np.ndarray, size: int, pairs: list[tuple[np.ndarray, np.ndarray]], class_of: np.ndarray, k: int, first_ids: np.ndarray):
@@ -560,9 +582,9 @@ def score_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFra
         model.unpack(np.average([np.frombuffer(r["params"], "<f4") for r in fits], axis=0, weights=weights))
     # Half a token stays with the attention even if no word is frequent.
     kept = 1 - max(rare - DISCOUNT * 0.97 * _distinct(counted(5, 1 << REGISTERS)), 0) / (train_tokens + 0.5)
-    scored = tok.mapInArrow(_score(sc.broadcast(model), sc.broadcast((hot, counts)), kept), "rid long, doc_id long, held_out boolean, n_tokens long, hot_logs double, hot_known long, hot_score double, words array<long>, texts array<long>, given array<float>")
+    scored = tok.mapInArrow(_score(sc.broadcast(model), sc.broadcast((hot, counts)), kept), "rid long, doc_id long, held_out boolean, n_tokens long, hot_logs double, hot_known long, hot_score double, words array<long>, texts array<long>, given array<float>, left array<float>, copied array<float>")
     scored = scratch.write(scored, "scored")
-    tail = scored.where("rid is null").select(F.explode(F.arrays_zip("words", "texts", "given")).alias("x")).select("x.words", "x.texts", "x.given").repartition("words").sortWithinPartitions("words")
+    tail = scored.where("rid is null").select(F.explode(F.arrays_zip("words", "texts", "given", "left", "copied")).alias("x")).select("x.*").repartition("words").sortWithinPartitions("words")
     tail = tail.mapInArrow(_tail(kept, train_tokens), "rid long, logs double, known long, fresh long, mixed double")
     tail = scratch.write(tail.groupBy("rid").agg(*[F.sum(x).alias(x) for x in ("logs", "known", "fresh", "mixed")]), "tail")
     distinct = (tail.agg(F.sum("fresh")).first()[0] or 0) + int((counts > 0).sum())
@@ -570,5 +592,5 @@ def score_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFra
     known = (F.col("hot_known") + F.coalesce("known", F.lit(0))).cast("long")
     base = F.col("hot_logs") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(floor)
     score = F.col("hot_score") + F.coalesce("mixed", F.lit(0.0))
-    texts = scored.where("rid is not null").drop("words", "texts", "given")
+    texts = scored.where("rid is not null").drop("words", "texts", "given", "left", "copied")
     return texts.join(tail, "rid", "left").select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))

@@ -43,3 +43,27 @@ def test_a_word_outside_the_frequent_ones_is_known_by_its_count(spark, monkeypat
     score = {r.doc_id: (r.score, r.n_tokens) for r in attention_lm.score_documents(docs).collect()}
     assert len(score) == 304 and score[10_000][0] > score[10_001][0] + 2
     assert score[10_002] == pytest.approx(score[10_003]) and all(math.isfinite(s) and s < 0 for s, _ in score.values())
+
+
+def test_the_copying_head_against_a_plain_count():
+    rng = np.random.default_rng(5)
+    text = np.repeat(np.arange(6), [1, 30, 2, 80, 1, 50])
+    h = rng.integers(0, 9, len(text)).astype(np.uint64)
+    left, copied = attention_lm._copied(h, text)
+    for t in range(6):
+        words = h[text == t].tolist()
+        for i, at in enumerate(np.flatnonzero(text == t).tolist()):
+            share = attention_lm.COPY * i / (i + attention_lm.COPY_FROM)
+            assert abs(10 ** left[at] - (1 - share)) < 1e-12
+            assert abs(copied[at] - (share * words[:i].count(words[i]) / i if i else 0)) < 1e-12
+            # Over all words the head gives what the others leave, so the mixture stays a distribution.
+            assert not i or abs(sum(share * words[:i].count(w) / i for w in set(words[:i])) - share) < 1e-12
+
+
+def test_held_out_texts_of_a_small_table_are_near_the_counts(spark):
+    """At sf0.01 a sixth of the held-out tokens is unseen; what a text repeats of them is not spelled again each time."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = attention_lm.score_documents(docs).where("held_out").collect()
+    n = sum(r.n_tokens for r in rows)
+    assert sum(r.score for r in rows) / n > sum(r.base_score for r in rows) / n - 0.06
+    assert min((r.score - r.base_score) / r.n_tokens for r in rows) > -1.5
