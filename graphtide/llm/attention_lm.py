@@ -37,7 +37,9 @@ CLASSES, WIDTH, CONTEXT, STRIDE = 1536, 8, 8, 8
 STEPS, LEAST, MOST = 300, 64, 1024
 #: Frequent words are counted in place; only the others are shuffled. Any choice gives the same counts; only
 #: frequent words have prefixes.
-HOT_WORDS, HOT_SAMPLE = 1 << 17, 6_000
+HOT_WORDS = 1 << 17
+#: Distinct words that a task counts before it sends the counts on.
+FIRST_WORDS = 300_000
 #: Tokens that a distribution counts from the one behind it: after an id, and after a word's beginning.
 PRIOR, PREFIX_PRIOR = 10.0, 1.0
 DISCOUNT = 0.75  # of the count of a word that is not frequent, left to its spelling
@@ -158,31 +160,31 @@ class Slots:
         return np.where((at >= 0) & (self.hashes[at] == h), at, -1)
 
 
-def _first_pass(sample_every: int):
-    """Counts of ids in training texts, of their tokens, and words of a sample of texts."""
-
-    def run(batches):
-        ids_n, tokens, words = np.zeros(START, np.int64), 0, {}
-        for batch in _slices(batches, 256):
-            train = ~np.array(batch.column("held_out").to_pylist(), bool)
-            ids, ends = _flat(batch.column("ids"))
-            keep = np.repeat(train, np.diff(ends))
-            ids_n += np.bincount(ids[keep] & (START - 1), minlength=START)
-            tokens += int(batch.column("n_tokens").to_numpy()[train].sum())
-            for i, r in enumerate(batch.column("rid").to_numpy()):
-                if r % sample_every == 0:
-                    text = ids[ends[i] : ends[i + 1]]
-                    starts = [*np.flatnonzero(text >= START).tolist(), len(text)]
-                    for a, b in zip(starts, starts[1:], strict=False):
-                        word = text[a:b].tobytes()
-                        words[word] = words.get(word, 0) + 1
-        at = np.flatnonzero(ids_n)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([0] * len(at) + [1] + [2] * len(words), pa.int32()), pa.array([*at.tolist(), 0, *[0] * len(words)], pa.int64()), pa.array([*[None] * (len(at) + 1), *words], pa.binary()), pa.array([*ids_n[at].tolist(), tokens, *words.values()], pa.int64())],
-            ["kind", "key", "word", "n"],
-        )
-
-    return run
+def _first_pass(batches):
+    """Counts of ids, tokens and words in all training texts; a task tells its words in parts, which add up."""
+
+    def told(words):
+        return pa.RecordBatch.from_arrays([pa.array([2] * len(words), pa.int32()), pa.array([0] * len(words), pa.int64()), pa.array([w for w, _ in words.values()], pa.binary()), pa.array([n for _, n in words.values()], pa.int64())], ["kind", "key", "word", "n"])
+
+    ids_n, tokens, words = np.zeros(START, np.int64), 0, {}
+    for batch in _slices(batches, 256):
+        train = [not x for x in batch.column("held_out").to_pylist()]
+        if not any(train):
+            continue
+        ids, _ = _flat(batch.column("ids").filter(pa.array(train)))
+        ids_n += np.bincount(ids & (START - 1), minlength=START)
+        tokens += int(batch.column("n_tokens").to_numpy()[np.array(train)].sum())
+        prefix, starts, stops = _hashes(ids)
+        found, first, n = np.unique(prefix[stops], return_index=True, return_counts=True)
+        for h, a, b, k in zip(found.tolist(), starts[first].tolist(), stops[first].tolist(), n.tolist(), strict=True):
+            known = words.get(h)
+            words[h] = (known[0], known[1] + k) if known else (ids[a : b + 1].tobytes(), k)
+        if len(words) > FIRST_WORDS:
+            yield told(words)
+            words = {}
+    yield told(words)
+    at = np.flatnonzero(ids_n)
+    yield pa.RecordBatch.from_arrays([pa.array([0] * len(at) + [1], pa.int32()), pa.array([*at.tolist(), 0], pa.int64()), pa.nulls(len(at) + 1, pa.binary()), pa.array([*ids_n[at].tolist(), tokens], pa.int64())], ["kind", "key", "word", "n"])
 
 
 def _second_pass(shipped):
@@ -542,11 +544,9 @@ def score_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFra
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     source = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
     tok = scratch.write(source.mapInArrow(_tokens(sc.broadcast(data)), "rid long, doc_id long, held_out boolean, n_tokens long, ids binary"), "tokens")
-    rows = tok.count()
     few = tok.coalesce(2 * sc.defaultParallelism)
 
-    every = max(1, rows // HOT_SAMPLE)
-    told = scratch.write(few.mapInArrow(_first_pass(every), "kind int, key long, word binary, n long").groupBy("kind", "key", "word").agg(F.sum("n").alias("n")), "first")
+    told = scratch.write(few.mapInArrow(_first_pass, "kind int, key long, word binary, n long").groupBy("kind", "key", "word").agg(F.sum("n").alias("n")), "first")
     ids_n, train_tokens = np.zeros(START, np.int64), 0
     for r in told.where("kind < 2").collect():
         if r["kind"]:

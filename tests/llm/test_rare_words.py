@@ -67,3 +67,23 @@ def test_held_out_texts_of_a_small_table_are_near_the_counts(spark):
     n = sum(r.n_tokens for r in rows)
     assert sum(r.score for r in rows) / n > sum(r.base_score for r in rows) / n - 0.06
     assert min((r.score - r.base_score) / r.n_tokens for r in rows) > -1.5
+
+
+def test_words_are_counted_over_all_training_texts(monkeypatch):
+    """Every training text counts, whatever its place, and no other; counts told in parts add up."""
+    monkeypatch.setattr(attention_lm, "FIRST_WORDS", 40)
+    rng, start = np.random.default_rng(3), attention_lm.START
+    texts = [[(int(rng.zipf(1.3)) % 90 + 3) | start if j % 2 == 0 else int(rng.integers(3, 6)) for j in range(8)] for _ in range(7000)]
+    held = [i % 7 == 2 for i in range(7000)]
+    ids = [np.array(x, "<u2").tobytes() for x in texts]
+    batch = pa.RecordBatch.from_pydict({"rid": list(range(7000)), "held_out": held, "n_tokens": [4] * 7000, "ids": ids})
+    got = Counter()
+    for b in attention_lm._first_pass(iter([batch])):
+        for kind, key, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got[kind, key, word] += n
+    want = Counter({(1, 0, None): 4 * held.count(False)})
+    for x, h in zip(texts, held, strict=True):
+        if not h:
+            want.update((0, i & (start - 1), None) for i in x)
+            want.update((2, 0, np.array(x[j : j + 2], "<u2").tobytes()) for j in range(0, 8, 2))
+    assert got == want
