@@ -76,3 +76,69 @@ def test_firing_once(spark, tmp_path):
         (on.add if sign > 0 else on.discard)(key)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert got.where(F.col("seq").isNull()).count() == 0
+
+
+class Held:
+    """A handle, its states and its timers in memory, which counts how often a state is read."""
+
+    def __init__(self):
+        self.states, self.timers, self.reads, self.writes = {}, set(), 0, 0
+
+    def getListState(self, name, schema):
+        return HeldState(self, name)
+
+    getValueState = getListState
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+
+class HeldState:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+        handle.states[name] = []
+
+    def exists(self):
+        return bool(self.handle.states[self.name])
+
+    def get(self):
+        self.handle.reads += 1
+        held = self.handle.states[self.name]
+        return held[0] if self.name in ("lock", "read") else iter(list(held))
+
+    def update(self, value):
+        self.handle.states[self.name] = [value]
+
+    def appendValue(self, value):
+        self.handle.writes += 1
+        self.handle.states[self.name].append(value)
+
+    def put(self, values):
+        self.handle.states[self.name] = list(values)
+
+    def clear(self):
+        self.handle.states[self.name] = []
+
+
+class Moment:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs
+
+
+def test_rows_that_the_watermark_passes_together_are_read_together(spark):
+    n = 400
+    rows = pd.DataFrame({"ts": [at(k) for k in range(n)], "strategy": "x", "topic": "x", "cooldown_ms": 90_000, "ttl": 1, "t": [at(k).value // 10**6 for k in range(n)]})
+    for machine, outputs in ((keyed._Cooldown(), n // 2), (keyed._Mailbox(60_000), n)):
+        handle = Held()
+        machine.init(handle)
+        list(machine.handleInputRows((1,), iter([rows]), None))
+        fired, out = sorted(handle.timers), []
+        for t in fired:
+            out += machine.handleExpiredTimer((1,), Moment(at(LAST).value // 10**6), Moment(t))
+        assert sum(map(len, out)) == outputs
+        assert len(fired) == 1 and handle.writes == 1 and handle.reads <= 2
