@@ -32,3 +32,31 @@ def test_optimum_and_calibration_over_a_graph(spark, small):
     pairs = f"PREFIX ex: <{EX}> SELECT (?b * ?f AS ?guess) (?b * 3 AS ?seen) WHERE {{ ?c ex:balance ?b }}"
     found, error = kb_calibrate(g, pairs, "guess", "seen", {"f": (0.0, 10.0)}, size=12, rounds=12)
     assert found["f"] == pytest.approx(3.0, abs=0.1) and error >= 0
+
+
+def test_rows_that_no_candidate_tells_apart_meet_the_candidates_once(spark, small):
+    """Filters, counts and sums as one query for each gives them, with ties at the thresholds and unbound values."""
+    g = kb(spark, small, "customer")
+    ties = [r.c_acctbal for r in spark.read.parquet(f"{small}/customer.parquet").where("c_acctbal > 0").limit(3).collect()]
+    points = [{"k": min(ties), "h": 9000.0}, {"k": 0.0, "h": max(ties)}]
+    where = "?c ex:nation ?n ; ex:balance ?b . OPTIONAL { ?c ex:segment ?s . FILTER(?b > 3000) }"
+    text = f"PREFIX ex: <{EX}> SELECT ?n (SUM(?b - ?k) AS ?y) (COUNT(*) AS ?m) (COUNT(?s) AS ?w) WHERE {{ {where} FILTER(?k <= ?b && ?b < ?h) }} GROUP BY ?n HAVING (COUNT(*) > 1)"
+    rows = answers(g, text, points)
+    got = {(r.run_id, r.n.lex): [None if x is None else x.num for x in (r.y, r.m, r.w)] for r in rows.collect()}
+    want = {}
+    for i, p in enumerate(points):
+        one = text.replace("?h", str(p["h"]))
+        for r in query(g, one.replace("?k", str(p["k"]))).collect():
+            want[i, r.n.lex] = [x.num for x in (r.y, r.m, r.w)]
+    assert got.keys() == want.keys() and len(got) > 20
+    for k in got:
+        assert got[k] == pytest.approx(want[k])
+
+
+def test_what_meets_the_candidates_does_not_grow_with_the_rows(spark, small):
+    """Rows of the join with the candidates: one for each group, interval and candidate at most."""
+    text = f"PREFIX ex: <{EX}> SELECT (COUNT(*) AS ?m) WHERE {{ ?c ex:balance ?b . FILTER(?b > ?k) }}"
+    rows = answers(kb(spark, small, "customer"), text, [{"k": 1000.0 * i} for i in range(3)])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, x in enumerate(plan) if "Join" in x and "Cross" in x or "Join Inner, (_v0" in x)
+    assert any("Aggregate" in x and "_cell0" in x for x in plan[at:])
