@@ -98,7 +98,8 @@ class Graph:
         """With more quads; those already there change nothing."""
         rows = rows.withColumn("g", F.lit(graph)) if graph is not None or "g" not in rows.columns else rows
         both = self.quads.unionByName(rows.select("g", "s", "s_kind", "p", "o"))
-        return Graph(identified(both).dropDuplicates(["g", "s", "s_kind", "p", "_k"]).drop("_k"), self.functions)
+        keys = ["s", "s_kind", "p", "_k"]
+        return Graph(dealt(identified(both), *keys).dropDuplicates(["g", *keys]).drop("_k"), self.functions)
 
     def remove(self, s: str | None = None, p: str | None = None, o=None, graph: str | None = None) -> Graph:
         """Without the matching triples; with graph, only there."""
@@ -125,8 +126,20 @@ def identified(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_k", T.key(F.col("o")))
 
 
-def distinct(rows: DataFrame) -> DataFrame:
-    return identified(rows).dropDuplicates(["s", "s_kind", "p", "_k"]).drop("_k")
+def distinct(rows: DataFrame, often: bool = False) -> DataFrame:
+    """Each triple once; often: one may come very often, so a task's own rows are put together before they are dealt."""
+    keys = ["s", "s_kind", "p", "_k"]
+    rows = identified(rows)
+    return (rows if often else dealt(rows, *keys)).dropDuplicates(keys).drop("_k")
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys, to be grouped by them and maybe more.
+
+    A grouping that keeps a whole term, or keys that hardly repeat, would else sort or hold all rows of a task before
+    they are dealt, and a small file of mapped rows is one task, however many quads it becomes.
+    """
+    return rows.repartition(*keys)
 
 
 def typed(kind: str, lex: str, dt: str, lang: str) -> Column:

@@ -18,7 +18,7 @@ from graphtide.plans.sparql import Compiler
 from graphtide.plans.sparql_parser import Const, Pattern, Var
 
 from .closure import reach, settle
-from .graph import DEFAULT, QUAD, Graph, distinct, identified
+from .graph import DEFAULT, QUAD, Graph, dealt, distinct, identified
 
 
 @dataclass(frozen=True)
@@ -127,7 +127,7 @@ def _closed(known: DataFrame, chain) -> DataFrame:
     rows = far.join(direct, ["a", "b"], "left_anti").join(starts, "a").join(named("o_kind", "o_lex", "b").drop("p"), "b").select("s", "s_kind", "p", T.term(F.col("o_kind"), F.col("o_lex")).alias("o"))
     ends = facts.where("o.kind = 2").join(named("s_kind", "s", "b"), ["p", "s_kind", "s"]).select("b", "o")
     keys = ["s", "s_kind", "p", "_k"]
-    last = identified(far.join(ends, "b").join(starts, "a").select("s", "s_kind", "p", "o")).dropDuplicates(keys)
+    last = dealt(identified(far.join(ends, "b").join(starts, "a").select("s", "s_kind", "p", "o")), *keys).dropDuplicates(keys)
     return rows.union(last.join(identified(facts.where("o.kind = 2")).select(*keys), keys, "left_anti").select("s", "s_kind", "p", "o"))
 
 
@@ -180,7 +180,7 @@ def infer(graph: Graph, rules: list[Rule], most_rounds: int = 200) -> tuple[Grap
                 parts.append(_heads(rows, r))
         first, fresh, new = False, fresh.limit(0), set()
         if parts:
-            made = distinct(reduce(DataFrame.union, parts))
+            made = distinct(reduce(DataFrame.union, parts), often=True)
             keys = ["s", "s_kind", "p", "_k"]
             fresh = settle(identified(made).join(identified(known).select(*keys), keys, "left_anti").drop("_k"))
             some, new = _met(fresh, names)

@@ -20,7 +20,7 @@ from graphtide.plans.sparql_parser import Const, Pattern, Var
 
 from .closure import settle
 from .events import EXECUTIONS
-from .graph import Graph
+from .graph import Graph, dealt
 
 _COMPARE: dict[str, Callable[[Column, Column], Column]] = {
     ">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b,
@@ -185,7 +185,8 @@ class RetractAction(Action):
     def run(self, graph, bindings):
         rows = graph.quads
         wanted = [(n, _resolve(x, bindings)) for n, x in (("s", self.s), ("p", self.p), ("o", self.o)) if x is not None]
-        doomed = bindings.select(*[T.key(c).alias(f"_{n}") for n, c in wanted]).distinct()
+        doomed = bindings.select(*[T.key(c).alias(f"_{n}") for n, c in wanted])
+        doomed = dealt(doomed, *doomed.columns).distinct()
         own = {"s": T.key(T.term(F.col("s_kind"), F.col("s"))), "p": T.key(T.term(T.IRI, F.col("p"))), "o": T.key(F.col("o"))}
         on = F.lit(True)
         for n, _ in wanted:

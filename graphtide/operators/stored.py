@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from graphtide.functions import registry
 from graphtide.functions import terms as T
 
-from .graph import DEFAULT, Graph
+from .closure import settle
+from .graph import DEFAULT, Graph, dealt
 
 _COLUMNS = ["g", "s", "s_kind", "p", "o", "sk", "ok", "first"]
 _TRIPLE = ["sk", "p", "ok"]
@@ -37,7 +38,7 @@ class StoredGraph:
     def create(cls, rows: DataFrame, folder: str, buckets: int = 64, functions: dict | None = None) -> StoredGraph:
         """Writes quads (g, s, s_kind, p, o), each once; equal terms are one whatever their form."""
         made = cls(rows.sparkSession, f"graph_{uuid.uuid4().hex}", functions)
-        made._write(made._unique(_keyed(rows)), folder, buckets, "errorifexists")
+        made._write(settle(made._unique(_keyed(rows))), folder, buckets, "errorifexists")
         return made
 
     @classmethod
@@ -53,7 +54,7 @@ class StoredGraph:
 
     @staticmethod
     def _unique(rows: DataFrame) -> DataFrame:
-        rows = rows.groupBy("g", *_TRIPLE).agg(*[F.any_value(c).alias(c) for c in ("s", "s_kind", "o")])
+        rows = dealt(rows, *_TRIPLE).groupBy("g", *_TRIPLE).agg(*[F.any_value(c).alias(c) for c in ("s", "s_kind", "o")])
         return rows.withColumn("first", F.col("g") == F.min("g").over(Window.partitionBy(*_TRIPLE))).select(*_COLUMNS)
 
     def _write(self, rows: DataFrame, folder: str | None, buckets: int, mode: str) -> None:
@@ -132,8 +133,6 @@ class StoredGraph:
 
         A triple that another graph has is stored for this one too, without the mark of its first row.
         """
-        from .closure import settle
-
         rows = rows.withColumn("g", F.lit(graph)) if graph is not None else rows
         fresh = self._unique(_keyed(rows))
         known = self.table("s").select("sk", *[F.col(c).alias(f"_{c}") for c in ("p", "ok", "g")])
