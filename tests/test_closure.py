@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from graphtide.operators.closure import reach
+from graphtide.operators.closure import _climbed, reach
 
 
 def walk(edges):
@@ -49,3 +49,25 @@ def test_dense_cycles_close_by_their_members(spark):
     edges = e.select((F.col("base") + F.col("i")).alias("a"), (F.col("base") + (F.col("i") + 1) % size).alias("b")).union(e.where("i < 5").select((F.col("base") + F.col("i")).alias("a"), (F.col("base") + (F.col("i") * 7 + 3) % size).alias("b")))
     assert edges.count() > 100_000
     assert reach(edges).count() == n * size * size
+
+
+@pytest.mark.parametrize("name, edges", list(graphs()))
+@pytest.mark.parametrize("many", [0, 100_000])
+def test_reach_without_the_edges(spark, name, edges, many):
+    """Climbed or doubled, the pairs without edges are the walk's; cycles and high graphs fall back to doubling."""
+    df = spark.createDataFrame([*edges, *edges[:3]], "a long, b long")
+    rows = [tuple(r) for r in reach(df, far=True, many=many).collect()]
+    said = {e for e in edges if None not in e}
+    assert sorted(rows) == sorted(walk(said) - said)
+    if not many:
+        assert sorted(tuple(r) for r in reach(df, many=0).collect()) == sorted(walk(said))
+
+
+def test_levels_make_each_pair_once(spark):
+    """Edges without cycles are climbed; a chain higher than the levels allowed is left to doubling."""
+    tree = spark.range(2, 400).select(F.col("id").alias("a"), F.expr("id div 2").alias("b"))
+    rows = _climbed(tree)
+    assert rows.count() == len(walk([(i, i // 2) for i in range(2, 400)])) and rows.where("d = 1").count() == 398
+    chain = spark.range(6).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert _climbed(chain, 6).count() == 21 and _climbed(chain, 5) is None
+    assert _climbed(chain.union(chain.select(F.lit(6).cast("long"), F.lit(4).cast("long")).limit(1))) is None
