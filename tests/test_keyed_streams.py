@@ -142,3 +142,29 @@ def test_rows_that_the_watermark_passes_together_are_read_together(spark):
             out += machine.handleExpiredTimer((1,), Moment(at(LAST).value // 10**6), Moment(t))
         assert sum(map(len, out)) == outputs
         assert len(fired) == 1 and handle.writes == 1 and handle.reads <= 2
+
+
+class _Map(dict):
+    """A map state without a store."""
+
+    containsKey = dict.__contains__
+    updateValue = dict.__setitem__
+    removeKey = dict.__delitem__
+
+
+def test_keys_of_a_bucket_fire_in_one_call():
+    """One call takes all keys of a bucket, and each is switched by its own changes alone."""
+    rng = random.Random(9)
+    once, state, on, want, got = keyed._Once(["rule", "g", "triple"], None), _Map(), {}, [], []
+    once.init(type("Handle", (), {"getMapState": lambda *_: state})())
+    for batch in range(5):
+        rows = [(rng.choice("ab"), rng.choice(["g", None]), rng.choice("xyz"), batch * 100 + k, rng.choice([1, -1])) for k in range(40)]
+        for *key, seq, sign in rows:
+            if sign > 0 and not on.get(tuple(key)):
+                want.append((*key, seq))
+            on[tuple(key)] = sign > 0
+        pdf = pd.DataFrame(rows, columns=["rule", "g", "triple", "seq", "sign"]).sample(frac=1, random_state=batch)
+        for out in once.handleInputRows((1,), iter([pdf[:15], pdf[15:]]), None):
+            got += list(out.itertuples(index=False, name=None))
+        assert set(state) == {k for k, v in on.items() if v}
+    assert sorted(got, key=lambda r: r[-1]) == want
