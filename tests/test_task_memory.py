@@ -4,6 +4,7 @@ from graphtide.operators.graph import Graph
 from graphtide.operators.rules import RetractAction
 from graphtide.operators.stored import StoredGraph, _keyed
 from graphtide.plans.kb_queries import EX, kb
+from graphtide.streaming.incremental import Maintained, changes
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -31,3 +32,11 @@ def test_retraction_deals_what_goes_before_it_groups_it(spark):
     left, _ = RetractAction("?c", EX + "segment").run(g, found)
     assert not _grouped_in_reading(left.quads)
     assert left.scan().count() == 4 * g.scan(p=EX + "segment").count()
+
+
+def test_a_maintained_graph_deals_its_log_before_it_groups_it(spark, tmp_path):
+    quads = kb(spark, FOLDER, "nation").materialise().quads
+    m = Maintained(spark, str(tmp_path), [])
+    m.apply(changes(quads), 0)
+    assert not _grouped_in_reading(m.quads())
+    assert m.quads().count() == quads.count()
