@@ -418,3 +418,61 @@ def test_encoded_rows(docs, spark, model):
     back = pieces.decode_ids(rows)
     assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r.doc_id, r.text) for r in raw)
     assert pieces.encode_documents(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_keys_of_lines_are_packed_by_bucket():
+    """A key is 12 bytes of few rows on its way, and what shares one meets, whether its bucket is read whole or in parts."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    lines = [b" ".join(b"%d" % rng.randrange(40) for _ in range(rng.randrange(10, 16))) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(lines, pa.binary())], ["h0", "words"])
+    keys, line = line_dedup.line_keys([x.split() for x in lines], 80)
+    packed = list(line_dedup._keys(80)(iter([batch.slice(0, 1000), batch.slice(1000)])))
+    assert sum(len(k) + len(o) for b in packed for k, o in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)) == 12 * len(keys)
+    assert sum(b.num_rows for b in packed) <= min(1 << line_dedup.BUCKETS, len(keys))
+    together: dict[int, set] = {}
+    for k, x in zip(keys.tolist(), line.tolist()):
+        together.setdefault(k, set()).add(x)
+    true = sorted(sorted(x) for x in together.values() if len(x) > 1)
+    assert len(true) > 100
+    table = pa.Table.from_batches(packed * 2).sort_by("bucket").to_batches()  # each line twice, as from two tasks
+    for most in (1 << 22, 3):
+        met: dict[int, set] = {}
+        for b in line_dedup._shared(most)(iter(table)):
+            for k, x, hub in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                met.setdefault(k, set()).update((x, hub))
+        assert sorted(sorted(x) for x in met.values()) == true
+
+
+def test_hashes_of_words():
+    """Words have one hash wherever they come, and different words different ones, whatever their length."""
+    words = [b"a", b"b", b"ab", b"abcdefgh", b"abcdefghi", b"abcdefghj", b"x" * 256, b"x" * 257, b"x" * 300, b"\x00", b"\x00\x00"]
+    hashes, lengths, starts = line_dedup._flat([b" ".join(words), b"ab", b" ".join(words[::-1])])
+    n = len(words)
+    assert len(set(hashes[:n].tolist())) == n and hashes[n] == hashes[2] and (hashes[n + 1 :] == hashes[:n][::-1]).all()
+    assert lengths[:n].tolist() == [len(w) for w in words] and starts.tolist() == [0, n, n + 1]
+
+
+def test_pairs_are_compared_once(monkeypatch):
+    """Lines that meet under several keys are compared at one of them, and rows are told near as by all pairs."""
+    import pyarrow as pa
+
+    rng, calls = random.Random(6), []
+    lines = [[b"%d" % rng.randrange(10**6) for _ in range(20)] for _ in range(12)]
+    lines = [x[: -3 * c] + [b"new%d" % rng.randrange(10**6) for _ in range(3 * c)] if c else x for x in lines for c in range(3)]
+    bits, rows = line_dedup.parities(lines).view(np.int64), []
+    for key in range(4):
+        for k, x in enumerate(lines):
+            rows.append((key, 0, 0, 0, k, k, *bits[k].tolist(), len(x), b" ".join(x), [0, 1, 2, 3]))
+    kinds = [pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 5, pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    table = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [*line_dedup._OPEN_NAMES, "words", "keys"])
+    similar = line_dedup.similar
+    monkeypatch.setattr(line_dedup, "similar", lambda a, b, percent: calls.append((tuple(a), tuple(b))) or similar(a, b, percent))
+    links = [x for b in line_dedup._compare(80)(iter([table.slice(0, 50), table.slice(50)])) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    true = {frozenset((a, b)) for a in range(36) for b in range(a) if similar(lines[a], lines[b], 80)}
+    assert len(calls) == len(set(calls)) and links and {frozenset(x) for x in links} <= true and {a // 3 for a, _ in links} == set(range(12))
+    close = {a for a in range(36) for b in range(36) if a != b and np.bitwise_count(bits[a].view(np.uint64) ^ bits[b].view(np.uint64)).sum() <= 8}
+    for most in (1 << 19, 50):
+        told = [x for b in line_dedup._within(80, most)(iter([table.slice(0, 7).select(range(10)), table.slice(7, 60).select(range(10)), table.slice(67).select(range(10))])) for x in b.column(4).to_pylist()]
+        assert told == sorted(close) * 4
